@@ -183,7 +183,7 @@ def link(texts: DataFrame) -> DataFrame:
     # A block meets itself and each later one: (x, y) with x <= y.
     units = held.withColumn("unit", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))))
 
-    def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left = rows[rows["block"] == key[1]]
         same = key[1] == key[2]
         right = left if same else rows[rows["block"] == key[2]]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat_format, exact_dedup, html_extract, language_id, mixing, near_dup, packing, sharding, top_k
+from . import chat_format, exact_dedup, html_extract, language_id, mixing, near_dup, packing, sharding, suffix_dedup, top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_mixing, op4_packing, op5_jaccard_join, op6_sharding, op8_exact_dedup, op9_exact_top_k, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_mixing, op4_packing, op5_jaccard_join, op6_sharding, op7_suffix_dedup, op8_exact_dedup, op9_exact_top_k, op10_html_extract)}
 
 _ESCAPED = r"replace(replace(replace(replace(text, '\', '\e'), '<', '\l'), '[', '\b'), ']', '\r')"
 

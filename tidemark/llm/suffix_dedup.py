@@ -4,8 +4,9 @@ A window (``length`` bytes) is repeated if the same bytes start anywhere else. E
 lowest-hashed CHUNK bytes, which a repetition of the window has at the same offset. The windows of one anchor
 lie in one stretch of the text, and stretches are compared first: if no other stretch has the chunk, none of
 its windows is repeated; if an equal stretch exists, all are. What is left, stretches that share a chunk and
-differ elsewhere, goes window by window through the suffix sort, one stretch for each different content: sorted
-runs, front-coded, are exchanged by key range, and a loser tree that knows the common prefixes merges them.
+differ elsewhere, goes through the suffix sort, one stretch for each different content, as the suffix that
+starts at the anchor: sorted runs, front-coded, are exchanged by key range, and a loser tree that knows the
+common prefixes merges them. Windows of neighbours are then told apart by those prefixes and their left sides.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ LENGTH = 200
 CHUNK_SHARE = 0.32
 #: Bytes of text hashed at once, windows of a sorted run, and key ranges of the exchange.
 BATCH, RUN, RANGES = 1 << 20, 1 << 17, 64
+#: Stretches of one chunk beyond which each window is an entry of its own, so that no key range is hot.
+WIDE = 2048
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INDEX = _U((1 << 22) - 1)
@@ -60,7 +63,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(texts: list[bytes], hasher: Hasher, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(text number, first window, windows, chunk hash, content hash) of every stretch with a common anchor."""
+    """(text number, first window, windows, bytes before the anchor, chunk hash, content hash) of every stretch."""
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
     chunk = max(1, int(length * CHUNK_SHARE))
@@ -68,7 +71,7 @@ def stretches(texts: list[bytes], hasher: Hasher, length: int = LENGTH) -> tuple
     buffer = np.frombuffer(b"".join(texts), np.uint8)
     empty = np.empty(0, np.int64)
     if len(buffer) < length:
-        return empty, empty, empty, empty, empty
+        return (empty,) * 6
     prefix = hasher.prefix(buffer)
     n = len(buffer) - chunk + 1
     value = (prefix[chunk:] - prefix[:n]) * hasher.inverses[:n]
@@ -83,7 +86,7 @@ def stretches(texts: list[bytes], hasher: Hasher, length: int = LENGTH) -> tuple
     start[1:] &= (anchor[1:] != anchor[:-1]) | ~fits[:-1] | (whose[1:] != whose[:-1])
     first = np.flatnonzero(start)
     if not len(first):
-        return empty, empty, empty, empty, empty
+        return (empty,) * 6
     stop = np.flatnonzero(fits & ~np.concatenate([fits[1:] & ~start[1:], [False]]))
     windows = stop - first + 1
     at = anchor[first]
@@ -91,61 +94,66 @@ def stretches(texts: list[bytes], hasher: Hasher, length: int = LENGTH) -> tuple
     content = hasher.span(prefix, first, stop + length) + shape * _U(0x94D049BB133111EB)
     content ^= content >> _U(29)
     text = whose[first]
-    return text, first - (ends - sizes)[text], windows, value[at].view(np.int64), content.view(np.int64)
+    return text, first - (ends - sizes)[text], windows, at - first, value[at].view(np.int64), content.view(np.int64)
 
 
-def front_code(keys: np.ndarray) -> bytes:
-    """Sorted rows of bytes as common prefix lengths and what follows them, compressed."""
+def front_code(keys: list[bytes]) -> bytes:
+    """Sorted keys as lengths, common prefix lengths and what follows the prefixes, compressed."""
+    sizes = np.array([len(k) for k in keys])
+    width = int(sizes.max(initial=1))
+    inside = np.arange(width)[None, :] < sizes[:, None]
+    table = np.zeros(inside.shape, np.uint8)
+    table[inside] = np.frombuffer(b"".join(keys), np.uint8)
     common = np.zeros(len(keys), np.int64)
     if len(keys) > 1:
-        differs = keys[1:] != keys[:-1]
-        common[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), keys.shape[1])
-    rest = keys[np.arange(keys.shape[1])[None, :] >= common[:, None]]
-    return zlib.compress(common.astype(np.uint16).tobytes() + rest.tobytes(), 1)
+        differs = table[1:] != table[:-1]
+        same = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+        common[1:] = np.minimum(same, np.minimum(sizes[1:], sizes[:-1]))
+    rest = table[inside & (np.arange(width)[None, :] >= common[:, None])]
+    return zlib.compress(sizes.astype(np.uint16).tobytes() + common.astype(np.uint16).tobytes() + rest.tobytes(), 1)
 
 
-def front_decode(blob: bytes, count: int, length: int) -> tuple[np.ndarray, list[bytes]]:
-    """(common prefix length with the row before, rows)."""
+def front_decode(blob: bytes, count: int) -> tuple[np.ndarray, list[bytes]]:
+    """(common prefix length with the key before, keys)."""
     raw = zlib.decompress(blob)
-    common = np.frombuffer(raw, np.uint16, count).astype(np.int64)
-    keys = np.zeros((count, length), np.uint8)
-    own = np.arange(length)[None, :] >= common[:, None]
-    keys[own] = np.frombuffer(raw, np.uint8, offset=2 * count)
-    rows = np.where(own, np.arange(count)[:, None], 0)
-    np.maximum.accumulate(rows, axis=0, out=rows)
-    flat = np.take_along_axis(keys, rows, axis=0).tobytes()
-    return common, [flat[i : i + length] for i in range(0, len(flat), length)]
+    sizes, common = (np.frombuffer(raw, np.uint16, count, offset=o).astype(np.int64) for o in (0, 2 * count))
+    width = int(sizes.max(initial=1))
+    column = np.arange(width)[None, :]
+    own = (column >= common[:, None]) & (column < sizes[:, None])
+    table = np.zeros((count, width), np.uint8)
+    table[own] = np.frombuffer(raw, np.uint8, offset=4 * count)
+    # A byte inside the common prefix is that of the last key before which gave it.
+    given = np.where(own, np.arange(count)[:, None], 0)
+    np.maximum.accumulate(given, axis=0, out=given)
+    flat = np.take_along_axis(table, given, axis=0).tobytes()
+    return common, [flat[i * width : i * width + n] for i, n in enumerate(sizes.tolist())]
 
 
 def _common(a: bytes, b: bytes, start: int) -> int:
     """Length of the common prefix, known to be ``start`` at least."""
-    x = int.from_bytes(a[start:]) ^ int.from_bytes(b[start:])
-    return len(a) - (x.bit_length() + 7 >> 3) if x else len(a)
+    n = min(len(a), len(b))
+    x = int.from_bytes(a[start:n]) ^ int.from_bytes(b[start:n])
+    return n - (x.bit_length() + 7 >> 3) if x else n
 
 
-def merge_runs(runs: list[tuple[np.ndarray, list[bytes]]], length: int) -> list[np.ndarray]:
-    """For each run, which of its (distinct) keys another run also has.
+def merge_runs(runs: list[tuple[np.ndarray, list[bytes]]]):
+    """(run, index, common prefix with the key before) of all keys in order.
 
-    A loser tree in which each entry knows its common prefix with the key given out last: the entry with the
+    A loser tree in which each head knows its common prefix with the key given out last: the head with the
     longer prefix is the smaller, and bytes are compared only past equal prefixes.
     """
     k = len(runs)
-    twice = [np.zeros(len(rows), bool) for _, rows in runs]
-    if k < 2:
-        return twice
     size = 1
     while size < k:
         size *= 2
     commons = [c.tolist() for c, _ in runs]
     rows = [r for _, r in runs]
     at, lens = [0] * k, [len(r) for r in rows]
-    known = [0] * size  # common prefix of a run's head with the last key; -1: the run has ended
     head: list[bytes | None] = [r[0] if r else None for r in rows] + [None] * (size - k)
-    for i in range(size):
-        known[i] = 0 if head[i] is not None else -1
+    known = [-1 if h is None else 0 for h in head]  # -1: the run has ended
 
     def play(x: int, y: int) -> tuple[int, int]:
-        """(winner, loser); sets the loser's known prefix to that with the winner."""
+        """(winner, loser); the loser then knows its common prefix with the winner."""
         p, q = known[x], known[y]
         if p > q:
             return x, y
@@ -154,44 +162,75 @@ def merge_runs(runs: list[tuple[np.ndarray, list[bytes]]], length: int) -> list[
         if p < 0:
             return x, y
         a, b = head[x], head[y]
-        if a == b:
-            known[y] = length
-            return x, y
         c = _common(a, b, p)
-        if a[c] < b[c]:
+        if c == len(a) or (c < len(b) and a[c] < b[c]):
             known[y] = c
             return x, y
         known[x] = c
         return y, x
 
-    tree = [0] * size
-    level = list(range(size))
-    base = size
+    tree, level, base = [0] * size, list(range(size)), size
     while len(level) > 1:
         base //= 2
         above = []
         for i in range(0, len(level), 2):
-            w, loser = play(level[i], level[i + 1])
-            tree[base + i // 2] = loser
+            w, tree[base + i // 2] = play(level[i], level[i + 1])
             above.append(w)
         level = above
-    winner, last = level[0], (-1, -1)
+    winner = level[0]
     while known[winner] >= 0:
-        run, i = winner, at[winner]
-        if known[run] == length and last[0] >= 0:  # equal to the key before it, which another run gave
-            twice[run][i] = twice[last[0]][last[1]] = True
-        last = (run, i)
-        at[run] = i = i + 1
-        if i < lens[run]:
-            known[run], head[run] = commons[run][i], rows[run][i]
+        yield winner, at[winner], known[winner]
+        at[winner] = i = at[winner] + 1
+        if i < lens[winner]:
+            known[winner], head[winner] = commons[winner][i], rows[winner][i]
         else:
-            known[run], head[run] = -1, None
-        node, w = (run + size) // 2, run
+            known[winner], head[winner] = -1, None
+        node = (winner + size) // 2
         while node:
-            w, tree[node] = play(w, tree[node])
+            winner, tree[node] = play(winner, tree[node])
             node //= 2
-        winner = w
-    return twice
+
+
+class Piece:
+    """The entries of one run in one key range: what follows the anchor is the sorted key, what leads to it ``left``."""
+
+    def __init__(self, count: int, keys: bytes, lefts: bytes, shape: bytes) -> None:
+        self.common, self.keys = front_decode(keys, count)
+        left, self.windows = np.frombuffer(shape, np.uint16).reshape(2, count).astype(np.int64)
+        ends, raw = np.cumsum(left), zlib.decompress(lefts)
+        self.left = [raw[e - n : e] for e, n in zip(ends.tolist(), left.tolist())]
+        self.first = np.concatenate([[0], np.cumsum(self.windows)])
+        self.found = np.zeros(int(self.first[-1]), bool)
+
+
+def settle(group: list[tuple[Piece, int]], common: list[int], length: int) -> None:
+    """Mark the repeated windows of entries that follow each other with long common prefixes.
+
+    A window that reaches o bytes to the left of the anchor and length - o to the right is repeated if another
+    entry agrees on both. Entries that agree on the right side are neighbours, by the known common prefixes;
+    among them the left sides are looked up.
+    """
+    by_offset: dict[int, list[int]] = {}
+    for n, (piece, i) in enumerate(group):
+        size = len(piece.left[i])
+        for o in range(size - int(piece.windows[i]) + 1, size + 1):
+            by_offset.setdefault(o, []).append(n)
+    for o, members in by_offset.items():
+        if len(members) < 2:
+            continue
+        seen: dict[bytes, int] = {}
+        before = members[0]
+        for n in members:
+            if n != before and min(common[before + 1 : n + 1]) < length - o:
+                seen = {}
+            before = n
+            piece, i = group[n]
+            size = len(piece.left[i])
+            other = seen.setdefault(piece.left[i][size - o :], n)
+            if other != n:
+                for m in (n, other):
+                    p, j = group[m]
+                    p.found[int(p.first[j]) + len(p.left[j]) - o] = True
 
 
 def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,49 +264,73 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if size > BATCH:  # one long text, in overlapping parts of at most BATCH bytes
                     t = some[0]
                     for s in range(0, len(t), BATCH - length + 1):
-                        _, f, w, h, c = stretches([t[s : s + BATCH]], hasher, length)
-                        yield pd.DataFrame({"uid": np.full(len(f), names[0]), "first": f + s, "windows": w, "chunk": h, "content": c})
+                        _, f, w, o, h, c = stretches([t[s : s + BATCH]], hasher, length)
+                        yield pd.DataFrame({"uid": np.full(len(f), names[0]), "first": f + s, "windows": w, "left": o, "chunk": h, "content": c})
                 else:
-                    k, f, w, h, c = stretches(some, hasher, length)
-                    yield pd.DataFrame({"uid": names[k], "first": f, "windows": w, "chunk": h, "content": c})
+                    k, f, w, o, h, c = stretches(some, hasher, length)
+                    yield pd.DataFrame({"uid": names[k], "first": f, "windows": w, "left": o, "chunk": h, "content": c})
                 at = end
 
-    kinds = "uid long, first long, windows long, chunk long, content long"
-    seen = materialize(docs.mapInPandas(scan, kinds).select("uid", F.col("first").cast("int"), F.col("windows").cast("short"), "chunk", "content"), "stretches")
+    kinds = "uid long, first long, windows long, left long, chunk long, content long"
+    seen = materialize(docs.mapInPandas(scan, kinds).select("uid", F.col("first").cast("int"), F.col("windows").cast("short"), F.col("left").cast("short"), "chunk", "content"), "stretches")
     contents = seen.groupBy("chunk", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "first")).alias("own"))
     chunks = contents.groupBy("chunk").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1").select(F.col("chunk").alias("c"), "kinds")
-    shared = contents.join(chunks, F.col("chunk") == F.col("c")).where("n > 1 OR kinds > 1").select(F.col("chunk").alias("c"), F.col("content").alias("d"), (F.col("n") > 1).alias("whole"), (F.col("kinds") > 1).alias("open"), F.col("own.uid").alias("u"), F.col("own.first").alias("f"))
-    marked = seen.join(shared, (F.col("chunk") == F.col("c")) & (F.col("content") == F.col("d"))).select("uid", "first", "windows", "whole", (F.col("open") & (F.col("uid") == F.col("u")) & (F.col("first") == F.col("f"))).alias("open")).where("whole OR open")
-    marked = materialize(marked.groupBy("uid").agg(F.collect_list(F.struct("first", "windows", "whole", "open")).alias("parts")), "marked")
+    shared = contents.join(chunks, F.col("chunk") == F.col("c")).where("n > 1 OR kinds > 1").select(F.col("chunk").alias("c"), F.col("content").alias("d"), (F.col("n") > 1).alias("whole"), (F.col("kinds") > 1).alias("open"), (F.col("kinds") > WIDE).alias("wide"), F.col("own.uid").alias("u"), F.col("own.first").alias("f"))
+    marked = seen.join(shared, (F.col("chunk") == F.col("c")) & (F.col("content") == F.col("d"))).select("uid", "first", "windows", "left", "whole", "wide", (F.col("open") & (F.col("uid") == F.col("u")) & (F.col("first") == F.col("f"))).alias("open")).where("whole OR open")
+    marked = materialize(marked.groupBy("uid").agg(F.collect_list(F.struct("first", "windows", "left", "whole", "wide", "open")).alias("parts")), "marked")
     n = marked.count()
     # Suffix runs of the stretches whose windows have to be compared.
     open_parts = marked.select(F.col("uid").alias("u"), F.filter("parts", lambda p: p["open"]).alias("parts")).where(F.size("parts") > 0)
     held = docs.join(maybe_broadcast(open_parts.select("u"), n, 16), F.col("uid") == F.col("u"), "left_semi").join(open_parts, F.col("uid") == F.col("u"))
     cuts = _splitters(docs, length)
-    runs = materialize(held.select("uid", "text", F.transform("parts", lambda p: p["first"]).alias("first"), F.transform("parts", lambda p: p["windows"]).alias("windows")).mapInPandas(lambda batches: _sorted_runs(batches, cuts, length), "run string, part int, count int, keys binary, uids binary, starts binary, which binary, twice binary"), "runs")
+    columns = "run string, part int, count int, keys binary, lefts binary, shape binary, uids binary, starts binary, which binary, twice binary"
+    runs = materialize(held.select("uid", "text", "parts").mapInPandas(lambda batches: _sorted_runs(batches, cuts, length), columns), "runs", compression="none")
 
     def merge(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
         pieces = pieces.sort_values("run")
-        found = merge_runs([front_decode(b, c, length) for b, c in zip(pieces["keys"], pieces["count"])], length)
-        return pd.DataFrame({"run": pieces["run"], "part": pieces["part"], "found": [np.packbits(x).tobytes() for x in found]})
-
-    merged = runs.select("run", "part", "count", "keys").groupBy("part").applyInPandas(merge, "run string, part int, found binary")
+        parts = [Piece(*x) for x in zip(pieces["count"], pieces["keys"], pieces["lefts"], pieces["shape"])]
+        chunk = max(1, int(length * CHUNK_SHARE))
+        group: list[tuple[Piece, int]] = []
+        common: list[int] = []
+        for run, i, c in merge_runs([(p.common, p.keys) for p in parts]):
+            if c < chunk:
+                if len(group) > 1:
+                    settle(group, common, length)
+                group, common = [], []
+            group.append((parts[run], i))
+            common.append(c)
+        if len(group) > 1:
+            settle(group, common, length)
+        return pd.DataFrame({"run": pieces["run"], "part": pieces["part"], "found": [np.packbits(p.found).tobytes() for p in parts]})
+
+    merged = runs.select("run", "part", "count", "keys", "lefts", "shape").groupBy("part").applyInPandas(merge, "run string, part int, found binary")
     merged = materialize(merged, "merged").select(F.col("run").alias("r"), F.col("part").alias("p"), "found")
 
     def report(batches):
         for b in batches:
-            for count, uids, starts, which, twice, found in zip(b["count"], b["uids"], b["starts"], b["which"], b["twice"], b["found"]):
-                hit = np.unpackbits(np.frombuffer(found, np.uint8), count=count).astype(bool) | np.unpackbits(np.frombuffer(twice, np.uint8), count=count).astype(bool)
-                ok = hit[np.frombuffer(which, np.int32)]
-                u, s = np.frombuffer(uids, np.int64)[ok], np.frombuffer(starts, np.int32)[ok].astype(np.int64)
+            for count, shape, uids, starts, which, twice, found in zip(b["count"], b["shape"], b["uids"], b["starts"], b["which"], b["twice"], b["found"]):
+                windows = np.frombuffer(shape, np.uint16)[count:].astype(np.int64)
+                first = np.concatenate([[0], np.cumsum(windows)])
+                hit = np.unpackbits(np.frombuffer(found, np.uint8), count=int(first[-1])).astype(bool)
+                hit[first[:-1][np.unpackbits(np.frombuffer(twice, np.uint8), count=count).astype(bool)]] = True
+                # Each copy of an entry, and each of its windows.
+                entry = np.frombuffer(which, np.int32)
+                n = windows[entry]
+                copy = np.repeat(np.arange(len(entry)), n)
+                within = np.arange(len(copy)) - np.repeat(np.cumsum(n) - n, n)
+                ok = hit[first[entry[copy]] + within]
+                u, s = np.frombuffer(uids, np.int64)[copy][ok], (np.frombuffer(starts, np.int32)[copy] + within)[ok]
+                order = np.lexsort((s, u))
+                u, s = u[order], s[order]
                 rows = []
-                for v in np.unique(u):
-                    a, z = union(s[u == v], s[u == v] + length)
+                for k, v in zip(*np.unique(u, return_index=True)[::-1]):
+                    mine = s[k : np.searchsorted(u, v, side="right")]
+                    a, z = union(mine, mine + length)
                     rows.append((v, a.tolist(), z.tolist()))
                 yield pd.DataFrame(rows, columns=["uid", "starts", "ends"])
 
     spans = "uid long, starts array<long>, ends array<long>"
-    by_window = runs.drop("keys").join(merged, (F.col("run") == F.col("r")) & (F.col("part") == F.col("p"))).mapInPandas(report, spans)
+    by_window = runs.drop("keys", "lefts").join(merged, (F.col("run") == F.col("r")) & (F.col("part") == F.col("p"))).mapInPandas(report, spans)
     whole = marked.select("uid", F.filter("parts", lambda p: p["whole"]).alias("parts")).where(F.size("parts") > 0)
     by_stretch = whole.select("uid", F.transform("parts", lambda p: p["first"].cast("long")).alias("starts"), F.transform("parts", lambda p: (p["first"] + p["windows"] + (length - 1)).cast("long")).alias("ends"))
     gathered = by_window.unionByName(by_stretch).groupBy("uid").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
@@ -288,43 +351,43 @@ def _splitters(docs: DataFrame, length: int) -> list[bytes]:
 
 
 def _sorted_runs(batches, cuts: list[bytes], length: int):
-    """Runs of about RUN windows, sorted, without repeats (counted in ``twice``), cut at the splitters."""
-    keys: list[bytes] = []
-    uids: list[np.ndarray] = []
-    starts: list[np.ndarray] = []
+    """Sorted runs of entries (key, left side, windows), cut at the splitters.
+
+    An entry is a stretch; a stretch of a wide group gives an entry for each window instead (no left side), and
+    equal ones of a run are one entry, so that a string in a third of all texts gives each run one entry only.
+    """
+    entries: list[tuple[bytes, bytes, int, int, int]] = []
+    size = 0
 
     def flush():
-        if not keys:
-            return
-        order = sorted(range(len(keys)), key=keys.__getitem__)
-        table = np.frombuffer(b"".join([keys[i] for i in order]), np.uint8).reshape(-1, length)
-        u, s = np.concatenate(uids)[order], np.concatenate(starts)[order]
-        new = np.concatenate([[True], (table[1:] != table[:-1]).any(axis=1)])
-        which = np.cumsum(new) - 1
-        distinct = table[new]
+        entries.sort()
+        fresh = [k == 0 or e[1] != b"" or e[:3] != entries[k - 1][:3] or e[2] != 1 for k, e in enumerate(entries)]
+        which = np.cumsum(fresh) - 1
+        kept = [e for e, f in zip(entries, fresh) if f]
         twice = np.bincount(which) > 1
-        rows = [keys[order[i]] for i in np.flatnonzero(new)]
-        edges = [0, *[bisect_left(rows, c) for c in cuts], len(rows)]
-        name = uuid.uuid4().hex
-        out = []
+        keys = [e[0] for e in kept]
+        edges, name, out = [0, *[bisect_left(keys, c) for c in cuts], len(keys)], uuid.uuid4().hex, []
         for part, (a, z) in enumerate(zip(edges, edges[1:])):
             if z > a:
                 x, y = np.searchsorted(which, [a, z])
-                out.append((name, part, z - a, front_code(distinct[a:z]), u[x:y].astype(np.int64).tobytes(), s[x:y].astype(np.int32).tobytes(), (which[x:y] - a).astype(np.int32).tobytes(), np.packbits(twice[a:z]).tobytes()))
-        keys.clear(), uids.clear(), starts.clear()
-        yield pd.DataFrame(out, columns=["run", "part", "count", "keys", "uids", "starts", "which", "twice"])
+                shape = np.array([[len(e[1]) for e in kept[a:z]], [e[2] for e in kept[a:z]]], np.uint16)
+                out.append((name, part, z - a, front_code(keys[a:z]), zlib.compress(b"".join(e[1] for e in kept[a:z]), 1), shape.tobytes(), np.array([e[3] for e in entries[x:y]], np.int64).tobytes(), np.array([e[4] for e in entries[x:y]], np.int32).tobytes(), (which[x:y] - a).astype(np.int32).tobytes(), np.packbits(twice[a:z]).tobytes()))
+        entries.clear()
+        yield pd.DataFrame(out, columns=["run", "part", "count", "keys", "lefts", "shape", "uids", "starts", "which", "twice"])
 
     for b in batches:
-        for uid, text, first, windows in zip(b["uid"], b["text"], b["first"], b["windows"]):
+        for uid, text, parts in zip(b["uid"], b["text"], b["parts"]):
             t = text.encode("utf-8", "surrogatepass")
-            at = np.unique(np.concatenate([np.arange(f, f + w) for f, w in zip(first, windows)]))
-            for part in np.array_split(at, -(-len(at) // RUN)):
-                keys += [t[i : i + length] for i in part.tolist()]
-                uids.append(np.full(len(part), uid))
-                starts.append(part)
-                if len(keys) >= RUN:
-                    yield from flush()
-    yield from flush()
+            for p in parts:
+                first, windows, left = p["first"], p["windows"], p["left"]
+                if p["wide"]:
+                    entries += [(t[i : i + length], b"", 1, uid, i) for i in range(first, first + windows)]
+                else:
+                    entries.append((t[first + left : first + windows - 1 + length], t[first : first + left], windows, uid, first))
+            if len(entries) >= RUN:
+                yield from flush()
+    if entries:
+        yield from flush()
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

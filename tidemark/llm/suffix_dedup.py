@@ -273,9 +273,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     kinds = "uid long, first long, windows long, left long, chunk long, content long"
     seen = materialize(docs.mapInPandas(scan, kinds).select("uid", F.col("first").cast("int"), F.col("windows").cast("short"), F.col("left").cast("short"), "chunk", "content"), "stretches")
+    # Stretches whose chunk occurs once go first; what follows works on the few that are left.
+    often = seen.groupBy("chunk").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select(F.col("chunk").alias("c"))
+    seen = materialize(seen.join(often, F.col("chunk") == F.col("c"), "left_semi"), "shared")
     contents = seen.groupBy("chunk", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "first")).alias("own"))
-    chunks = contents.groupBy("chunk").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1").select(F.col("chunk").alias("c"), "kinds")
-    shared = contents.join(chunks, F.col("chunk") == F.col("c")).where("n > 1 OR kinds > 1").select(F.col("chunk").alias("c"), F.col("content").alias("d"), (F.col("n") > 1).alias("whole"), (F.col("kinds") > 1).alias("open"), (F.col("kinds") > WIDE).alias("wide"), F.col("own.uid").alias("u"), F.col("own.first").alias("f"))
+    chunks = contents.groupBy("chunk").agg(F.count(F.lit(1)).alias("kinds")).select(F.col("chunk").alias("c"), "kinds")
+    shared = contents.join(chunks, F.col("chunk") == F.col("c")).select(F.col("chunk").alias("c"), F.col("content").alias("d"), (F.col("n") > 1).alias("whole"), (F.col("kinds") > 1).alias("open"), (F.col("kinds") > WIDE).alias("wide"), F.col("own.uid").alias("u"), F.col("own.first").alias("f"))
     marked = seen.join(shared, (F.col("chunk") == F.col("c")) & (F.col("content") == F.col("d"))).select("uid", "first", "windows", "left", "whole", "wide", (F.col("open") & (F.col("uid") == F.col("u")) & (F.col("first") == F.col("f"))).alias("open")).where("whole OR open")
     marked = materialize(marked.groupBy("uid").agg(F.collect_list(F.struct("first", "windows", "left", "whole", "wide", "open")).alias("parts")), "marked")
     n = marked.count()

@@ -6,15 +6,32 @@ written as Parquet and read again as the next one's docs.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact_dedup, language_id, mixing, near_dup, packing
-from tidemark.llm.common import materialize
+from tidemark.llm.common import drop_tables, materialize, recorded
 
 #: A document goes if its language is undetermined or its score is below this.
 LEAST_SCORE = 0.3
 
 
+#: Tables that earlier stages wrote for themselves. A stage's input is written before the next one begins, so they go then.
+_written: list[str] = []
+
+
+def _stage(f):
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _written, docs.inputFiles())
+        with recorded(_written):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fits on the labelled documents; documents without a letter, or without a clear language, go."""
     model = language_id.fit(docs.select("text", "lang"))
@@ -22,18 +39,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((found.lang_pred != language_id.UNDETERMINED) & (found.score >= LEAST_SCORE)).select(*docs.columns)
 
 
+@_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_first(docs)
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dup.keep_one(docs)
 
 
+@_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 

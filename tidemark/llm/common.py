@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
@@ -15,6 +16,7 @@ TOKEN = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 8 << 20
 
 _own_dirs: dict[str, str] = {}
+_records: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,10 +38,32 @@ def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
+    for record in _records:
+        record.append(path)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def recorded(paths: list[str]):
+    """Add to ``paths`` the tables written inside."""
+    _records.append(paths)
+    try:
+        yield
+    finally:
+        _records.remove(paths)
+
+
+def drop_tables(spark: SparkSession, paths: list[str], keep: list[str]) -> None:
+    """Delete written tables, but for those that hold one of the files ``keep``; empties ``paths``."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        if not any(path.rsplit("/", 1)[1] in f for f in keep):
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+    paths.clear()
+
+
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` of ``row_bytes`` stay under BROADCAST_BYTES."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

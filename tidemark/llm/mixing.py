@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import TOKEN, cells_for, materialize, running_total
+from .common import TOKEN, cells_for, materialize, maybe_broadcast, running_total
 
 #: Fractional part of the golden ratio: its multiples are spread evenly over [0, 1).
 GOLDEN = (math.sqrt(5) - 1) / 2
@@ -54,8 +54,8 @@ def schedule(spark, shares: list[float], slots: int) -> DataFrame:
     return picked.withColumn("rank", F.row_number().over(Window.partitionBy("source_no").orderBy("slot")).cast("long") - 1)
 
 
-def mix(docs: DataFrame, slots: int = SLOTS, most: int = MOST_REPEATS) -> tuple[DataFrame, DataFrame]:
-    """Which words of each document the mix takes, and the documents with their _uid and size.
+def mix(docs: DataFrame, slots: int = SLOTS, most: int = MOST_REPEATS) -> tuple[DataFrame, DataFrame, int]:
+    """Which words of each document the mix takes, the documents with their _uid and size, and their number.
 
     The first has _u (the _uid), source_size, target, copies (whole passes taken) and cut (words of one more,
     partial pass). A source's documents are laid in hash order on a line of tokens,
@@ -89,21 +89,22 @@ def mix(docs: DataFrame, slots: int = SLOTS, most: int = MOST_REPEATS) -> tuple[
     got = pieces.join(plan, ["source_no", "rank"]).groupBy("_uid", "pass", "size").agg(F.sum("words").alias("words"))
     per_doc = got.groupBy("_uid").agg(F.sum((F.col("words") == F.col("size")).cast("int")).alias("copies"), F.sum(F.when(F.col("words") < F.col("size"), F.col("words"))).alias("cut"))
     taken = line.join(per_doc, "_uid", "left").select("_uid", "source_size", "target", F.coalesce("copies", F.lit(0)).cast("int").alias("copies"), F.coalesce("cut", F.lit(0)).alias("cut"))
-    return taken.withColumnRenamed("_uid", "_u"), staged
+    return taken.withColumnRenamed("_uid", "_u"), staged, rows
 
 
 def mix_counts(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document."""
-    taken, staged = mix(docs.select("doc_id", "text", "source"))
+    taken, staged, _ = mix(docs.select("doc_id", "text", "source"))
     slim = staged.select("_uid", "doc_id", "size")
     return slim.join(taken, F.col("_uid") == F.col("_u")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("cut")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: a row for each whole pass, and the first words of the document at which a source's words end."""
-    taken, staged = mix(docs)
+    taken, staged, rows = mix(docs)
     columns = docs.columns
-    joined = staged.join(taken, F.col("_uid") == F.col("_u")).where("copies > 0 OR cut > 0")
+    wanted = taken.where("copies > 0 OR cut > 0").select("_u", "copies", "cut")
+    joined = staged.join(maybe_broadcast(wanted, rows, 24), F.col("_uid") == F.col("_u"))
     each = joined.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("copies") + (F.col("cut") > 0).cast("int"))))
     words = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(f"({TOKEN})"), F.lit(1)), F.lit(1), F.col("cut").cast("int")), " ")
     text = F.when(F.col("_pass") > F.col("copies"), words).otherwise(F.col("text"))

@@ -73,8 +73,13 @@ def _signed(batches):
             h = shingles(text)
             if len(h):
                 s = signature(h, *functions).reshape(TREES, depth)
-                rows.append((uid, h.tobytes(), [xxhash.xxh3_64_intdigest(s[t].tobytes(), seed=t) - (1 << 63) for t in range(TREES)]))
-        yield pd.DataFrame(rows, columns=["uid", "shingles", "prefixes"])
+                rows.append((uid, [xxhash.xxh3_64_intdigest(s[t].tobytes(), seed=t) - (1 << 63) for t in range(TREES)]))
+        yield pd.DataFrame(rows, columns=["uid", "prefixes"])
+
+
+def _shingled(batches):
+    for b in batches:
+        yield b.assign(shingles=[shingles(t).tobytes() for t in b["text"]])[["uid", "shingles", "root", "blocks", "block"]]
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -169,7 +174,7 @@ def link(texts: DataFrame) -> DataFrame:
     near copies give rows in proportion to their size; all their pairs are compared nevertheless.
     """
     spark = texts.sparkSession
-    signed = materialize(texts.mapInPandas(_signed, "uid long, shingles binary, prefixes array<long>"), "signed")
+    signed = materialize(texts.mapInPandas(_signed, "uid long, prefixes array<long>"), "signed")
     met = signed.select("uid", F.posexplode("prefixes").alias("tree", "prefix"))
     groups = met.groupBy("tree", "prefix").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("tree", "prefix", "first")
     edges = met.join(groups, ["tree", "prefix"]).where("uid > first").select(F.col("uid").alias("a"), F.col("first").alias("b"))
@@ -179,7 +184,9 @@ def link(texts: DataFrame) -> DataFrame:
     n = members.count()
     placed = members.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = maybe_broadcast(materialize(placed.select("node", "root", "blocks", "block"), "placed"), n, 40)
-    held = signed.join(placed, F.col("uid") == F.col("node"))
+    # Only the members' texts are read again for their shingles; all others have no candidate.
+    held = texts.join(placed, F.col("uid") == F.col("node")).select("uid", "text", "root", "blocks", "block").mapInPandas(_shingled, "uid long, shingles binary, root long, blocks int, block int")
+    held = held.join(signed.withColumnRenamed("uid", "s"), F.col("uid") == F.col("s"))
     # A block meets itself and each later one: (x, y) with x <= y.
     units = held.withColumn("unit", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))))
 
@@ -204,8 +211,8 @@ def link(texts: DataFrame) -> DataFrame:
     return linked.join(joined, F.col("uid") == F.col("node"), "left").select("uid", "links", F.coalesce("root", "uid").alias("root"))
 
 
-def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents with a row id, and (row, class_row, n_links) for each.
+def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The documents with a row id, (row, class_row, n_links) for each, and the number of different texts.
 
     Copies (equal up to white space) are one text; its row is the one with the smallest id. class_row is the
     smallest such row connected by links of similarity THRESHOLD or more; n_links counts the other texts
@@ -224,12 +231,12 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     linked = link(chosen.select(F.col("_row").alias("uid"), F.coalesce("text", F.lit("")).alias("text")))
     classes = first.join(linked, F.col("first") == F.col("uid"), "left").select("digest", F.coalesce("root", "first").alias("class_row"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
     rows = keys.join(classes, "digest").select("_row", "doc_id", "class_row", "n_links")
-    return staged, rows
+    return staged, rows, n
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_size, n_links for every document."""
-    _, rows = near_classes(docs.select("doc_id", "text"))
+    _, rows, _ = near_classes(docs.select("doc_id", "text"))
     rows = materialize(rows, "rows")
     ids = rows.groupBy("class_row").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).select(F.col("class_row").alias("c"), "class_id", "class_size")
     return rows.join(ids, F.col("class_row") == F.col("c")).select("doc_id", "class_id", "class_size", "n_links")
@@ -237,6 +244,6 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest doc_id, with the columns of ``docs``."""
-    staged, rows = near_classes(docs)
+    staged, rows, n = near_classes(docs)
     best = rows.groupBy("class_row").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))).alias("f")).select(F.col("f._row").alias("_kept"))
-    return staged.join(best, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
+    return staged.join(maybe_broadcast(best, n, 16), F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)

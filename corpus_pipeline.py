@@ -24,6 +24,8 @@ _written: list[str] = []
 def _stage(f):
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if f is language.__wrapped__:
+            _written.clear()  # an earlier run's result may still be read
         drop_tables(spark, _written, docs.inputFiles())
         with recorded(_written):
             return f(spark, docs, sf_dir)

@@ -91,17 +91,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: of equal texts the row with the smallest doc_id."""
     spark = docs.sparkSession
-    columns = docs.columns
-    digest = F.sha2(normalised(F.col("text")), 256)
-    staged = materialize(docs.withColumn("_uid", F.monotonically_increasing_id()), "staged")
+    text = F.col("row.text")
+    digest = F.sha2(normalised(text), 256)
+    # The caller's columns lie in a struct, so their names clash with nothing.
+    staged = materialize(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("uid")), "staged")
     index = DigestIndex(spark)
-    index.add(staged.select(digest.alias("digest"), "doc_id", F.col("_uid").alias("uid")))
+    index.add(staged.select(digest.alias("digest"), F.col("row.doc_id").alias("doc_id"), "uid"))
     hits = index.compact().where("rows > 1").select(F.col("digest").alias("hit"), F.col("first.uid").alias("first_uid"))
     n_hits = hits.count()
     hit_keys = maybe_broadcast(hits, n_hits, ROW_BYTES)
     marked = staged.withColumn("digest", digest).join(hit_keys, F.col("digest") == F.col("hit"), "left")
     # Byte verification of the hits, by grouping on the text itself.
-    texts = marked.where("hit IS NOT NULL").groupBy("hit", normalised(F.col("text")).alias("norm")).agg(F.count(F.lit(1)).alias("n")).groupBy("hit").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    texts = marked.where("hit IS NOT NULL").groupBy("hit", normalised(text).alias("norm")).agg(F.count(F.lit(1)).alias("n")).groupBy("hit").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     if texts.limit(1).count():
         raise ValueError("two texts share a SHA-256 digest")
-    return marked.where("hit IS NULL OR _uid = first_uid").select(*columns)
+    return marked.where("hit IS NULL OR uid = first_uid").select("row.*")

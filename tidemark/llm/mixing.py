@@ -64,9 +64,11 @@ def mix(docs: DataFrame, slots: int = SLOTS, most: int = MOST_REPEATS) -> tuple[
     The number of distinct sources is taken to fit the driver (one row each).
     """
     spark = docs.sparkSession
-    sized = docs.withColumns({"_uid": F.monotonically_increasing_id(), "size": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TOKEN)).cast("long")})
+    # The caller's columns lie in a struct, so their names clash with nothing.
+    rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("_uid"))
+    sized = rows.withColumn("size", F.regexp_count(F.coalesce("row.text", F.lit("")), F.lit(TOKEN)).cast("long"))
     staged = materialize(sized, "mix")
-    slim = staged.select("_uid", "doc_id", "source", "size")
+    slim = staged.select("_uid", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "size")
     per_source = slim.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
     per_source.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["n"] for r in per_source]
@@ -95,7 +97,7 @@ def mix(docs: DataFrame, slots: int = SLOTS, most: int = MOST_REPEATS) -> tuple[
 def mix_counts(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document."""
     taken, staged, _ = mix(docs.select("doc_id", "text", "source"))
-    slim = staged.select("_uid", "doc_id", "size")
+    slim = staged.select("_uid", F.col("row.doc_id").alias("doc_id"), "size")
     return slim.join(taken, F.col("_uid") == F.col("_u")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("cut")).alias("taken"))
 
 
@@ -106,9 +108,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     wanted = taken.where("copies > 0 OR cut > 0").select("_u", "copies", "cut")
     joined = staged.join(maybe_broadcast(wanted, rows, 24), F.col("_uid") == F.col("_u"))
     each = joined.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("copies") + (F.col("cut") > 0).cast("int"))))
-    words = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(f"({TOKEN})"), F.lit(1)), F.lit(1), F.col("cut").cast("int")), " ")
-    text = F.when(F.col("_pass") > F.col("copies"), words).otherwise(F.col("text"))
-    out = each.withColumn("text", text)
+    words = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(f"({TOKEN})"), F.lit(1)), F.lit(1), F.col("cut").cast("int")), " ")
+    text = F.when(F.col("_pass") > F.col("copies"), words).otherwise(F.col("row.text"))
+    changed = {"text": text}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+        changed["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return each.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])

@@ -219,16 +219,17 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     linked to the document's text. Texts without a word, and null ones, are each a class of their own per
     distinct (empty) text, without links.
     """
-    norm = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), WS, " "))
-    staged = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
+    norm = F.trim(F.regexp_replace(F.coalesce("row.text", F.lit("")), WS, " "))
+    # The caller's columns lie in a struct, so their names clash with nothing.
+    staged = materialize(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("_row")), "docs")
     digest = F.sha2(norm, 256)
-    keys = materialize(staged.select("_row", "doc_id", digest.alias("digest")), "keys")
+    keys = materialize(staged.select("_row", F.col("row.doc_id").alias("doc_id"), digest.alias("digest")), "keys")
     first = keys.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))).alias("f"), F.count(F.lit(1)).alias("n")).select("digest", F.col("f._row").alias("first"))
     first = materialize(first, "first")
     n = first.count()
     # The texts that stand for their copies, chosen by row id; only they are hashed.
     chosen = staged.join(maybe_broadcast(first.select("first"), n, 16), F.col("_row") == F.col("first"), "left_semi")
-    linked = link(chosen.select(F.col("_row").alias("uid"), F.coalesce("text", F.lit("")).alias("text")))
+    linked = link(chosen.select(F.col("_row").alias("uid"), F.coalesce("row.text", F.lit("")).alias("text")))
     classes = first.join(linked, F.col("first") == F.col("uid"), "left").select("digest", F.coalesce("root", "first").alias("class_row"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
     rows = keys.join(classes, "digest").select("_row", "doc_id", "class_row", "n_links")
     return staged, rows, n
@@ -246,4 +247,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest doc_id, with the columns of ``docs``."""
     staged, rows, n = near_classes(docs)
     best = rows.groupBy("class_row").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))).alias("f")).select(F.col("f._row").alias("_kept"))
-    return staged.join(maybe_broadcast(best, n, 16), F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
+    return staged.join(maybe_broadcast(best, n, 16), F.col("_row") == F.col("_kept"), "left_semi").select("row.*")

@@ -102,6 +102,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         links = new
         if done:
             break
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     return links.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 

@@ -197,6 +197,26 @@ def test_html(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def extracted(spark, pages):
+    rows = [(i, f"http://h.x/{i}", html) for i, html in enumerate(pages)]
+    return [r.text for r in sorted(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())]
+
+
+def test_html_tree_judges_inside_the_article(spark):
+    own = lambda i: f"Own words {i} of page {i}"
+    pages = [f"<body><main><p>Body {i}</p><article><p>{own(i)}</p><div class=box>Read our rules</div></article></main></body>" for i in range(6)]
+    assert extracted(spark, pages) == [f"Body {i} {own(i)}" for i in range(6)]
+    # Copies of one page are no boilerplate.
+    assert extracted(spark, pages[:1] * 5) == [f"Body 0 {own(0)} Read our rules"] * 5
+
+
+def test_html_words_around_the_article(spark):
+    text = "<p>Text</p><div class=comments>c</div>"
+    pages = [f"<body class=has-sidebar><article>{text}</article></body>", f"<body><article class='post has-sidebar'>{text}</article></body>", f"<div class=with-sidebar><main>{text}</main></div>",
+             f"<div class=with-sidebar>s<article>{text}</article></div>", f"<article>{text}<article class=comment>no</article></article><div class=ad>a</div>", "<div class=ad>a</div><nav>n</nav>"]
+    assert extracted(spark, pages) == ["Text"] * 5 + [""]
+
+
 def test_running_total(spark):
     df = spark.createDataFrame([(i % 2, i, i) for i in range(50)] + [(None, 7, 100)], "k long, o long, w long")
     rows = running_total(df, ["k"], "o", "w", 8, "w").collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -27,6 +28,8 @@ SCOPES = frozenset("ul ol table dl article section div aside nav header footer m
 NOISE_TAGS = frozenset("head title nav aside footer form menu dialog button input label".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related reply replies share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget".split())
+#: Elements that hold the page: a word of their class ("has-sidebar") says what is in them, not what they are.
+HOLDERS = frozenset("html body main".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -37,13 +40,14 @@ class Page:
     """Blocks of text with the chain of nodes that hold them, and the children of each node.
 
     A node is named by its path: element names with the words of class and id. ``blocks`` has (text, nodes,
-    noise, zone); zone is 2 inside article, 1 inside main, else 0.
+    noise); noise is 0 for what may be the article, 1 inside an article or main that only a word of a class or
+    id around it speaks against, else 2.
     """
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[str, tuple[str, ...], bool, int]] = []
+        self.blocks: list[tuple[str, tuple[str, ...], int]] = []
         self.children: dict[str, list[str]] = {}
-        self._stack: list[tuple[str, str, bool, int, bool]] = [("", "", False, 0, True)]  # tag, path, noise, zone, is a block
+        self._stack: list[tuple[str, str, int, bool, bool]] = [("", "", 0, False, True)]  # tag, path, noise, inside article or main, is a block
         self._nodes: list[str] = []
         self._text: list[str] = []
         at, n = 0, len(source)
@@ -74,7 +78,7 @@ class Page:
         self._text = []
         if text:
             _, _, noise, zone, _ = self._stack[-1]
-            self.blocks.append((text, tuple(dict.fromkeys(s[1] for s in self._stack if s[4] and s[1])), noise, zone))
+            self.blocks.append((text, tuple(dict.fromkeys(s[1] for s in self._stack if s[4] and s[1])), 2 if noise and not zone else noise))
 
     def _pop_to(self, tags: tuple[str, ...], stop: frozenset[str]) -> None:
         for i in range(len(self._stack) - 1, 0, -1):
@@ -100,6 +104,7 @@ class Page:
             return
         _, path, noise, zone, _ = self._stack[-1]
         words: list[str] = []
+        names: list[str] = []
         role = ""
         if attrs and "=" in attrs:
             for name, a, b, c in _ATTR.findall(attrs):
@@ -108,11 +113,18 @@ class Page:
                     role = value.strip()
                 else:
                     words += _WORDS.findall(value)
-        noise = noise or tag in NOISE_TAGS or (tag == "header" and not zone) or role in NOISE_ROLES or ("hidden" in attrs and bool(re.search(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))", attrs))) or any(w in NOISE_WORDS for w in words)
+                    names += value.split()
+        if tag == "main" and noise == 1:
+            noise = 0  # the main text is in no side bar
+        if tag in NOISE_TAGS or (tag == "header" and not zone) or role in NOISE_ROLES or ("hidden" in attrs and bool(re.search(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))", attrs))):
+            noise = 2
+        # An article is a comment or an advert only if a whole name says so.
+        elif tag not in HOLDERS and any(w in NOISE_WORDS for w in (names if tag == "article" else words)):
+            noise = max(noise, 2 if zone else 1)
         if block:
             self.children.setdefault(path, []).append(tag)
             path = f"{path}/{tag}" + "".join(f".{w}" for w in sorted(set(words)))
-            zone = 2 if tag == "article" else max(zone, 1) if tag == "main" or role == "main" else zone
+            zone = zone or tag in ("article", "main") or role == "main"
         self._stack.append((tag, path, noise, zone, block))
 
     def _close(self, tag: str) -> None:
@@ -126,21 +138,28 @@ class Page:
                 return  # an inline end never closes a block
 
     def nodes(self) -> list[tuple[str, int, int]]:
-        """(node, hash of its children's order, hash of all its text) for each node outside article and main."""
+        """(node, hash of its children's order, hash of all its text) for each node that has text."""
         texts: dict[str, int] = {}
-        for text, chain, _, zone in self.blocks:
-            if not zone:
-                code = text.encode("utf-8", "surrogatepass")
-                for node in chain:
-                    texts[node] = zlib.crc32(code, texts.get(node, 0))
+        for text, chain, _ in self.blocks:
+            code = text.encode("utf-8", "surrogatepass")
+            for node in chain:
+                texts[node] = zlib.crc32(code, texts.get(node, 0))
         style = lambda node: zlib.crc32(" ".join(t for t, _ in groupby(self.children.get(node, []))).encode())
         return [(node, style(node), code) for node, code in texts.items()]
 
+    def code(self) -> int:
+        """A 64-bit hash of the page's whole text."""
+        text = "\0".join(text for text, _, _ in self.blocks).encode("utf-8", "surrogatepass")
+        return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big", signed=True)
+
+    def article(self) -> list[tuple[str, tuple[str, ...]]]:
+        """(text, nodes) of the blocks that aren't noise by name. Where words around the article leave nothing, they don't count."""
+        least = min((noise for _, _, noise in self.blocks), default=0)
+        return [(text, chain) for text, chain, noise in self.blocks if noise <= min(least, 1)]
+
     def text(self, low: frozenset[str] = frozenset()) -> str:
-        """The article: what is left of the innermost zone that has text, without noise and low branches."""
-        kept = [(text, zone) for text, chain, noise, zone in self.blocks if not noise and (zone or not low or low.isdisjoint(chain))]
-        most = max((zone for _, zone in kept), default=0)
-        return " ".join(text for text, zone in kept if zone == most)
+        """The article: what is left without noise and low branches."""
+        return " ".join(text for text, chain in self.article() if low.isdisjoint(chain))
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
@@ -148,14 +167,16 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     A node's importance is (1 - GAMMA) times the entropy of its children's orders plus GAMMA times that of its
     content, over the host's pages that have it, to the base of their number: 0 if all pages agree, 1 if all differ.
+    Pages of a host with the same text throughout count once, so that a page's copies don't make it boilerplate.
     """
 
     def nodes(batches):
         for b in batches:
-            rows = [(host, *row) for host, source in zip(b["host"], b["html"]) for row in Page(source or "").nodes()]
-            yield pd.DataFrame(rows, columns=["host", "node", "style", "content"])
+            parsed = [(host, Page(source or "")) for host, source in zip(b["host"], b["html"])]
+            rows = [(host, page.code(), *row) for host, page in parsed for row in page.nodes()]
+            yield pd.DataFrame(rows, columns=["host", "page", "node", "style", "content"])
 
-    seen = pages.select("host", "html").mapInPandas(nodes, "host string, node string, style long, content long")
+    seen = pages.select("host", "html").mapInPandas(nodes, "host string, page long, node string, style long, content long").distinct()
     both = seen.select("host", "node", F.explode(F.array(F.struct(F.lit("s").alias("kind"), F.col("style").alias("value")), F.struct(F.lit("c").alias("kind"), F.col("content").alias("value")))).alias("x"))
     counts = both.groupBy("host", "node", "x.kind", "x.value").agg(F.count(F.lit(1)).alias("n"))
     evenness = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("same"))
@@ -169,7 +190,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Elements that are never the article (menus, headers, footers, forms, comments and so on) go by their names;
     the style tree of the host then removes branches whose presentation and content hardly differ over its
-    pages. Null html is an empty page with empty text; pages with null url form one host. Repeated rows are
+    pages, inside article and main too. What is left is kept wherever it lies. Null html is an empty page with empty text; pages with null url form one host. Repeated rows are
     kept; other columns are ignored.
     """
     base = pages.select("page_id", "url", "html", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit("")).alias("host"))

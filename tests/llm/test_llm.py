@@ -210,6 +210,12 @@ def test_html_tree_judges_inside_the_article(spark):
     assert extracted(spark, pages[:1] * 5) == [f"Body 0 {own(0)} Read our rules"] * 5
 
 
+def test_html_host_size_changes_nothing(spark):
+    page = lambda i: f"<div class=text>Own words {i} of {i * i}</div>" + "<div class=campaign>Closed today</div>" * (i < 4)
+    for n in (20, 400):
+        assert extracted(spark, [page(i) for i in range(n)]) == [f"Own words {i} of {i * i}" for i in range(n)]
+
+
 def test_html_words_around_the_article(spark):
     text = "<p>Text</p><div class=comments>c</div>"
     pages = [f"<body class=has-sidebar><article>{text}</article></body>", f"<body><article class='post has-sidebar'>{text}</article></body>", f"<div class=with-sidebar><main>{text}</main></div>",

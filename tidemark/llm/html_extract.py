@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import maybe_broadcast, materialize
 
-#: Share of content against presentation in a node's importance; pages of a host from which a node is judged,
-#: and the share of them that a judged node must be on; importance up to which it goes.
-GAMMA, LEAST_PAGES, LEAST_SHARE, LOW = 0.9, 4, 0.02, 0.2
+#: Share of content against presentation in a node's importance; pages of a host from which a node is judged;
+#: importance up to which it goes.
+GAMMA, LEAST_PAGES, LOW = 0.9, 4, 0.2
 
 # Fixed values of HTML: element names by their role.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -157,26 +157,34 @@ class Page:
         least = min((noise for _, _, noise in self.blocks), default=0)
         return [(text, chain) for text, chain, noise in self.blocks if noise <= min(least, 1)]
 
-    def text(self, low: frozenset[str] = frozenset()) -> str:
-        """The article: what is left without noise and low branches."""
-        return " ".join(text for text, chain in self.article() if low.isdisjoint(chain))
 
+def parse(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, blocks (text, numbers of its nodes), nodes (number, node, style, content), page (hash of all text)."""
 
-def style_tree(pages: DataFrame) -> DataFrame:
+    def read(batches):
+        for b in batches:
+            rows = []
+            for page_id, url, host, source in zip(b["page_id"], b["url"], b["host"], b["html"]):
+                page = Page(source or "")
+                nodes = page.nodes()
+                number = {node: i for i, (node, _, _) in enumerate(nodes)}
+                blocks = [{"text": text, "nodes": [number[node] for node in chain]} for text, chain in page.article()]
+                rows.append((page_id, url, host, page.code(), blocks, [{"number": number[n], "node": n, "style": style, "content": content} for n, style, content in nodes]))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "host", "page", "blocks", "nodes"])
+
+    kind = dict(pages.dtypes)["page_id"]
+    return pages.select("page_id", "url", "host", "html").mapInPandas(
+        read, f"page_id {kind}, url string, host string, page long, blocks array<struct<text:string,nodes:array<int>>>, nodes array<struct<number:int,node:string,style:long,content:long>>")
+
+
+def style_tree(parsed: DataFrame) -> DataFrame:
     """host, node, pages, importance: the merged style trees.
 
     A node's importance is (1 - GAMMA) times the entropy of its children's orders plus GAMMA times that of its
     content, over the host's pages that have it, to the base of their number: 0 if all pages agree, 1 if all differ.
     Pages of a host with the same text throughout count once, so that a page's copies don't make it boilerplate.
     """
-
-    def nodes(batches):
-        for b in batches:
-            parsed = [(host, Page(source or "")) for host, source in zip(b["host"], b["html"])]
-            rows = [(host, page.code(), *row) for host, page in parsed for row in page.nodes()]
-            yield pd.DataFrame(rows, columns=["host", "page", "node", "style", "content"])
-
-    seen = pages.select("host", "html").mapInPandas(nodes, "host string, page long, node string, style long, content long").distinct()
+    seen = parsed.select("host", "page", F.explode("nodes").alias("n")).select("host", "page", "n.node", "n.style", "n.content").distinct()
     both = seen.select("host", "node", F.explode(F.array(F.struct(F.lit("s").alias("kind"), F.col("style").alias("value")), F.struct(F.lit("c").alias("kind"), F.col("content").alias("value")))).alias("x"))
     counts = both.groupBy("host", "node", "x.kind", "x.value").agg(F.count(F.lit(1)).alias("n"))
     evenness = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("same"))
@@ -194,18 +202,17 @@ def extract(pages: DataFrame) -> DataFrame:
     kept; other columns are ignored.
     """
     base = pages.select("page_id", "url", "html", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit("")).alias("host"))
-    tree = style_tree(base)
-    sizes = base.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    low = tree.where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") <= LOW)).join(sizes, "host").where(F.col("pages") >= F.col("all") * LEAST_SHARE)
-    # A host has at most as many of them as nodes a page over LEAST_SHARE.
-    low = materialize(low.groupBy("host").agg(F.collect_set("node").alias("low")), "low").select(F.col("host").alias("low_host"), "low")
-    hosts, size = low.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.array_join("low", "")) + 64), F.lit(0))).first()
-    joined = base.join(maybe_broadcast(low, size, 1) if hosts else low, F.col("host") == F.col("low_host"), "left").select("page_id", "url", "html", "low") if hosts else base.select("page_id", "url", "html", F.array().cast("array<string>").alias("low"))
-
-    def read(batches):
-        for b in batches:
-            text = [Page(source or "").text(frozenset(bad) if bad is not None else frozenset()) for source, bad in zip(b["html"], b["low"])]
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
-
-    types = dict(pages.dtypes)
-    return joined.mapInPandas(read, f"page_id {types['page_id']}, url string, text string, n_chars long")
+    # Every page is parsed once; what its tree needs is written with its text.
+    parsed = materialize(parse(base).withColumn("_uid", F.monotonically_increasing_id()), "pages")
+    low = materialize(style_tree(parsed).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") <= LOW)).select(F.col("host").alias("low_host"), F.col("node").alias("low_node")), "low")
+    count, size = low.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("low_host") + F.length("low_node") + 64), F.lit(0))).first()
+    if count:
+        # By (host, node), so that neither a host's number of low nodes nor that of its pages meets in a row.
+        nodes = parsed.select("_uid", "host", F.explode("nodes").alias("n")).select("_uid", "host", "n.number", "n.node")
+        found = nodes.join(maybe_broadcast(low, size, 1), (F.col("host") == F.col("low_host")) & (F.col("node") == F.col("low_node")))
+        parsed = parsed.join(found.groupBy(F.col("_uid").alias("_u")).agg(F.collect_set("number").alias("low")), F.col("_uid") == F.col("_u"), "left")
+    else:
+        parsed = parsed.withColumn("low", F.array().cast("array<int>"))
+    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["nodes"], F.coalesce("low", F.array().cast("array<int>"))))
+    text = F.array_join(F.transform(left, lambda b: b["text"]), " ")
+    return parsed.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

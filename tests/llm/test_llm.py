@@ -91,6 +91,17 @@ def test_mixing(spark, table, none):
     assert mixed.columns == table.columns and sum(len((r.text or "").split()) for r in mixed.collect()) == sum(r.taken for r in rows)
 
 
+def test_mixing_meets_targets_below_a_block(spark):
+    rows = [(i, "w " * (2000 if i < 4 else 3), "en", f"s{min(i, 4) + (i > 4) * (i - 4):02}") for i in range(40)]
+    taken, staged, _ = mixing.mix(docs(spark, rows), slots=16)
+    got = collections.Counter()
+    for r in taken.join(staged, F.col("_u") == F.col("_uid")).select("row.source", "size", "target", "copies", "cut").collect():
+        got[r.source, r.target] += r.copies * r["size"] + r.cut
+    assert len(got) == 40 and all(n == round(target) > 0 for (_, target), n in got.items())
+    plan = sorted(mixing.schedule(spark, [5, 0, 1, 30]).collect())
+    assert [r.slot for r in plan] == list(range(36)) and collections.Counter(r.source_no for r in plan) == {0: 5, 2: 1, 3: 30}
+
+
 def test_packing(spark, table, none):
     rows = packing.pack(table, budget=300, buckets=4).collect()
     assert len(rows) == len(some())

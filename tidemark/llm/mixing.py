@@ -15,7 +15,7 @@ from .common import TOKEN, cells_for, materialize, maybe_broadcast, running_tota
 GOLDEN = (math.sqrt(5) - 1) / 2
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
-#: Slots of the schedule: a bound on its length whatever the input; a block has total / SLOTS tokens.
+#: Slots of the schedule, and one more a source at most: a bound on its length whatever the input; a block has total / SLOTS tokens.
 SLOTS = 1 << 17
 
 
@@ -36,21 +36,24 @@ def water_level(sizes: list[int], weights: list[float], most: float = MOST_REPEA
     return targets
 
 
-def schedule(spark, shares: list[float], slots: int) -> DataFrame:
-    """(slot, source index, rank): slot i takes the source whose cumulative share holds frac((i + 1/2) golden); rank counts the source's slots."""
-    total = sum(shares) or 1.0
-    edges = np.cumsum(np.asarray(shares, dtype="float64")) / total
-    live = [i for i, s in enumerate(shares) if s > 0]
+def schedule(spark, blocks: list[int]) -> DataFrame:
+    """(slot, source index, rank): each source has as many slots as ``blocks`` says; rank counts them.
+
+    Slots in the order of frac((i + 1/2) golden) go to the sources one after the other, so slot i takes the source
+    whose cumulative share holds that fraction, with edges that give every source its number exactly.
+    """
+    slots = sum(blocks)
 
     def pick(batches):
+        source_no = np.empty(slots, dtype="int64")
+        source_no[np.argsort(np.modf((np.arange(slots) + 0.5) * GOLDEN)[0], kind="stable")] = np.repeat(np.arange(len(blocks)), blocks)
         for b in batches:
-            x = np.modf((b["slot"].to_numpy(dtype="float64") + 0.5) * GOLDEN)[0]
-            yield pd.DataFrame({"slot": b["slot"], "source_no": np.minimum(np.searchsorted(edges, x, side="right"), live[-1]).astype("int64")})
+            yield pd.DataFrame({"slot": b["slot"], "source_no": source_no[b["slot"].to_numpy(dtype="int64")]})
 
-    if not live:
+    if not slots:
         return spark.createDataFrame([], "slot long, source_no long, rank long")
     picked = spark.range(slots).withColumnRenamed("id", "slot").mapInPandas(pick, "slot long, source_no long")
-    # At most SLOTS rows in all, so ranking a source's slots in one task is bounded.
+    # At most SLOTS rows and one a source, so ranking a source's slots in one task is bounded.
     return picked.withColumn("rank", F.row_number().over(Window.partitionBy("source_no").orderBy("slot")).cast("long") - 1)
 
 
@@ -60,7 +63,7 @@ def mix(docs: DataFrame, slots: int = SLOTS, most: int = MOST_REPEATS) -> tuple[
     The first has _u (the _uid), source_size, target, copies (whole passes taken) and cut (words of one more,
     partial pass). A source's documents are laid in hash order on a line of tokens,
     which is cut into blocks and repeats up to ``most`` times; block r of the line goes to the source's slot
-    of rank r. Null and empty texts have size 0 and are never taken. Null source is a source, sorted last.
+    of rank r. The last block ends at the target, rounded to a word, so every source gives just that. Null and empty texts have size 0 and are never taken. Null source is a source, sorted last.
     The number of distinct sources is taken to fit the driver (one row each).
     """
     spark = docs.sparkSession
@@ -75,18 +78,18 @@ def mix(docs: DataFrame, slots: int = SLOTS, most: int = MOST_REPEATS) -> tuple[
     targets = water_level(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))], most)
     total, rows = sum(sizes), sum(r["rows"] for r in per_source)
     block = max(1, -(-total // slots))
-    n_slots = -(-total // block)
-    table = spark.createDataFrame([(i, r["source"], int(r["n"]), float(t)) for i, (r, t) in enumerate(zip(per_source, targets))], "source_no long, _source string, source_size long, target double")
-    plan = schedule(spark, targets, n_slots)
+    words = [round(t) for t in targets]
+    table = spark.createDataFrame([(i, r["source"], int(r["n"]), float(t), w) for i, (r, t, w) in enumerate(zip(per_source, targets, words))], "source_no long, _source string, source_size long, target double, _end long")
+    plan = schedule(spark, [-(-w // block) for w in words])
     placed = slim.join(table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     line = running_total(placed, ["source_no"], "doc_id", "_uid", cells_for(rows), "size", "start")
-    # Only blocks that the source's slots can reach are listed: about as many rows as the mix takes.
-    reach = F.ceil(F.col("target") / block) + 64
+    # Only blocks up to the target are listed: about as many rows as the mix takes.
+    end = F.least(F.col("at") + F.col("size"), F.col("_end"))
     passes = line.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("at", F.col("start") + F.col("pass") * F.col("source_size"))
     pieces = (
-        passes.withColumns({"first": F.floor(F.col("at") / block), "last": F.least(F.floor((F.col("at") + F.col("size") - 1) / block), reach)})
-        .where("first <= last").withColumn("rank", F.explode(F.sequence("first", "last")))
-        .select("_uid", "source_no", "pass", "size", "rank", (F.least(F.col("at") + F.col("size"), (F.col("rank") + 1) * block) - F.greatest(F.col("at"), F.col("rank") * block)).alias("words"))
+        passes.withColumns({"first": F.floor(F.col("at") / block), "last": F.floor((end - 1) / block)})
+        .where("at < _end").withColumn("rank", F.explode(F.sequence("first", "last")))
+        .select("_uid", "source_no", "pass", "size", "rank", (F.least(end, (F.col("rank") + 1) * block) - F.greatest(F.col("at"), F.col("rank") * block)).alias("words"))
     )
     got = pieces.join(plan, ["source_no", "rank"]).groupBy("_uid", "pass", "size").agg(F.sum("words").alias("words"))
     per_doc = got.groupBy("_uid").agg(F.sum((F.col("words") == F.col("size")).cast("int")).alias("copies"), F.sum(F.when(F.col("words") < F.col("size"), F.col("words"))).alias("cut"))

@@ -102,6 +102,23 @@ def test_mixing_meets_targets_below_a_block(spark):
     assert [r.slot for r in plan] == list(range(36)) and collections.Counter(r.source_no for r in plan) == {0: 5, 2: 1, 3: 30}
 
 
+def test_mixed_rows_follow_the_schedule(spark):
+    source = {i: "ab"[i >= 20] for i in range(40)}
+    rows = [(i, f"w{i}  x y", "en", source[i]) for i in source]
+    plan = [r.source_no for r in sorted(mixing.schedule(spark, [86, 34]).collect())]
+    seen, want = collections.Counter(), []
+    for s in plan:
+        if seen[s] % 3 == 0:  # a document's first word
+            want.append("ab"[s])
+        seen[s] += 1
+    for whole in (False, True):
+        got = mixing.mixed_documents(docs(spark, rows), whole).collect()
+        assert [r.source for r in got] == want
+        assert sum(r.text != f"w{r.doc_id}  x y" for r in got) == (0 if whole else 2)
+    places = [p for r in mixing.mix(docs(spark, rows))[0].collect() for p in r.places or []]
+    assert sorted(x.slot for p in places for x in p.parts) == list(range(120)) and all([x.first_word for x in p.parts] == list(range(len(p.parts))) for p in places)
+
+
 def test_packing(spark, table, none):
     rows = packing.pack(table, budget=300, buckets=4).collect()
     assert len(rows) == len(some())

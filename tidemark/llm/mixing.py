@@ -60,8 +60,9 @@ def schedule(spark, blocks: list[int]) -> DataFrame:
 def mix(docs: DataFrame, slots: int = SLOTS, most: int = MOST_REPEATS) -> tuple[DataFrame, DataFrame, int]:
     """Which words of each document the mix takes, the documents with their _uid and size, and their number.
 
-    The first has _u (the _uid), source_size, target, copies (whole passes taken) and cut (words of one more,
-    partial pass). A source's documents are laid in hash order on a line of tokens,
+    The first has _u (the _uid), source_size, target, copies (whole passes taken), cut (words of one more,
+    partial pass) and places: for each pass the parts (slot, first word, words) of the slots that take it, in slot
+    order. A source's documents are laid in hash order on a line of tokens,
     which is cut into blocks and repeats up to ``most`` times; block r of the line goes to the source's slot
     of rank r. The last block ends at the target, rounded to a word, so every source gives just that. Null and empty texts have size 0 and are never taken. Null source is a source, sorted last.
     The number of distinct sources is taken to fit the driver (one row each).
@@ -89,11 +90,11 @@ def mix(docs: DataFrame, slots: int = SLOTS, most: int = MOST_REPEATS) -> tuple[
     pieces = (
         passes.withColumns({"first": F.floor(F.col("at") / block), "last": F.floor((end - 1) / block)})
         .where("at < _end").withColumn("rank", F.explode(F.sequence("first", "last")))
-        .select("_uid", "source_no", "pass", "size", "rank", (F.least(end, (F.col("rank") + 1) * block) - F.greatest(F.col("at"), F.col("rank") * block)).alias("words"))
+        .select("_uid", "source_no", "pass", "size", "rank", (F.greatest(F.col("at"), F.col("rank") * block) - F.col("at")).alias("first_word"), (F.least(end, (F.col("rank") + 1) * block) - F.greatest(F.col("at"), F.col("rank") * block)).alias("words"))
     )
-    got = pieces.join(plan, ["source_no", "rank"]).groupBy("_uid", "pass", "size").agg(F.sum("words").alias("words"))
-    per_doc = got.groupBy("_uid").agg(F.sum((F.col("words") == F.col("size")).cast("int")).alias("copies"), F.sum(F.when(F.col("words") < F.col("size"), F.col("words"))).alias("cut"))
-    taken = line.join(per_doc, "_uid", "left").select("_uid", "source_size", "target", F.coalesce("copies", F.lit(0)).cast("int").alias("copies"), F.coalesce("cut", F.lit(0)).alias("cut"))
+    got = pieces.join(plan, ["source_no", "rank"]).groupBy("_uid", "pass", "size").agg(F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("slot", "first_word", "words"))).alias("parts"))
+    per_doc = got.groupBy("_uid").agg(F.sum((F.col("words") == F.col("size")).cast("int")).alias("copies"), F.sum(F.when(F.col("words") < F.col("size"), F.col("words"))).alias("cut"), F.sort_array(F.collect_list(F.struct("pass", "parts"))).alias("places"))
+    taken = line.join(per_doc, "_uid", "left").select("_uid", "source_size", "target", F.coalesce("copies", F.lit(0)).cast("int").alias("copies"), F.coalesce("cut", F.lit(0)).alias("cut"), "places")
     return taken.withColumnRenamed("_uid", "_u"), staged, rows
 
 
@@ -104,16 +105,19 @@ def mix_counts(docs: DataFrame) -> DataFrame:
     return slim.join(taken, F.col("_uid") == F.col("_u")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("cut")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: a row for each whole pass, and the first words of the document at which a source's words end."""
+def mixed_documents(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """The mix as documents, in the order of the slots in which they begin: a row for each pass.
+
+    The document at which a source's words end has its first words only, or all of them if ``whole``.
+    """
     taken, staged, rows = mix(docs)
     columns = docs.columns
-    wanted = taken.where("copies > 0 OR cut > 0").select("_u", "copies", "cut")
-    joined = staged.join(maybe_broadcast(wanted, rows, 24), F.col("_uid") == F.col("_u"))
-    each = joined.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("copies") + (F.col("cut") > 0).cast("int"))))
+    wanted = taken.where("copies > 0 OR cut > 0").select("_u", "copies", "cut", F.transform("places", lambda p: p["parts"][0]["slot"]).alias("slots"))
+    joined = staged.join(maybe_broadcast(wanted, rows, 48), F.col("_uid") == F.col("_u"))
+    each = joined.select("*", F.posexplode("slots").alias("_pass", "_slot")).orderBy("_slot", "_pass", "_uid")
     words = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(f"({TOKEN})"), F.lit(1)), F.lit(1), F.col("cut").cast("int")), " ")
-    text = F.when(F.col("_pass") > F.col("copies"), words).otherwise(F.col("row.text"))
-    changed = {"text": text}
-    if "n_chars" in columns:
+    text = F.col("row.text") if whole else F.when(F.col("_pass") >= F.col("copies"), words).otherwise(F.col("row.text"))
+    changed = {} if whole else {"text": text}
+    if "n_chars" in columns and not whole:
         changed["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
     return each.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])

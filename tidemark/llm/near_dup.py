@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification, and its near-duplicate classes."""
+"""N-gram Jaccard join by banded MinHash signatures with exact verification, and its near-duplicate classes."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import WS, materialize, maybe_broadcast
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: The forest: TREES sorted tries over signatures of DEPTH values each; matched prefixes are shortened until a
-#: pair at the threshold is found with probability RECALL.
+#: TREES bands of at most DEPTH values each; all bands are shortened alike, by these constants, until a pair at the
+#: threshold is found with probability RECALL. A forest of sorted tries, shortened by document, is not built.
 TREES, DEPTH, RECALL = 24, 8, 0.999
 #: Documents of a block in verification; a unit of work is one block, or two of the same component.
 BLOCK = 256

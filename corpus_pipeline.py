@@ -63,7 +63,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language), ("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("packing", packed)]
 
-#: The stages rest on fitted models and hash orders, which SQL can't express; tests/llm compares them by brute force.
+#: The stages rest on fitted models and hash orders, which SQL can't express. No test compares run()'s rows with brute force.
 ORACLE_SQL = None
 
 

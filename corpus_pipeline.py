@@ -37,8 +37,9 @@ def _stage(f):
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fits on the labelled documents; documents without a letter, or without a clear language, go."""
     model = language_id.fit(docs.select("text", "lang"))
-    found = language_id.identify(docs, model)
-    return found.where((found.lang_pred != language_id.UNDETERMINED) & (found.score >= LEAST_SCORE)).select(*docs.columns)
+    numbered = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called, no name clashes
+    found = language_id.identify(docs.toDF(*numbered), model, numbered[docs.columns.index("text")])
+    return found.where((found.lang_pred != language_id.UNDETERMINED) & (found.score >= LEAST_SCORE)).select(*numbered).toDF(*docs.columns)
 
 
 @_stage

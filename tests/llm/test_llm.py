@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, exact_dedup, html_extract, language_id, mixing, near_dup, packing, sharding, suffix_dedup, top_k
+from tidemark.llm import chat_format, exact_dedup, html_extract, language_id, mixing, near_dup, packing, suffix_dedup, top_k
 from tidemark.llm.common import running_total
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _uid long, size string, digest string"
@@ -142,19 +142,6 @@ def test_boundaries_are_optimal():
         assert len(got) <= k and got[-1] == lengths[-1] and cost(got) == best
 
 
-def test_sharding(spark, table, none):
-    import zlib
-
-    rows = sharding.shard(table, 4).collect()
-    text = collections.defaultdict(set)
-    for i, t, _, _ in some():
-        text[i].add(zlib.crc32((t or "").encode()))
-    for s in range(4):
-        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
-    assert len(rows) == len(some()) and all(r.text_crc32 in text[r.doc_id] for r in rows)
-    assert sharding.shard(none).count() == 0
-
-
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     v = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(150)] + [(150, None), (151, [1.0, None]), (152, [float("nan")] * 6), (None, [1.0] * 6), (153, []), (100, [0.5] * 6), (154, [1.0, 2.0])]

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, exact_dedup, html_extract, language_id, mixing, near_dup, packing, suffix_dedup, top_k
+from tidemark.llm import chat_format, exact_dedup, html_extract, language_id, mixing, near_dup, suffix_dedup, top_k
 from tidemark.llm.common import running_total
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _uid long, size string, digest string"
@@ -119,29 +119,6 @@ def test_mixed_rows_follow_the_schedule(spark):
     assert sorted(x.slot for p in places for x in p.parts) == list(range(120)) and all([x.first_word for x in p.parts] == list(range(len(p.parts))) for p in places)
 
 
-def test_packing(spark, table, none):
-    rows = packing.pack(table, budget=300, buckets=4).collect()
-    assert len(rows) == len(some())
-    for b, group in ((b, [r for r in rows if r.batch == b]) for b in {r.batch for r in rows}):
-        assert sorted(r.slot for r in group) == list(range(len(group))) and len(group) <= group[0].capacity
-        assert len(group) * group[0].boundary <= 300 or len(group) == 1
-    assert packing.pack(none).count() == 0
-
-
-def test_boundaries_are_optimal():
-    from itertools import combinations
-
-    rng = random.Random(1)
-    for _ in range(30):
-        lengths = sorted(rng.sample(range(60), 8))
-        bins = [(x, c := rng.randint(1, 9), x * c) for x in lengths]
-        cost = lambda tops: sum(c * (min(t for t in tops if t >= x) - x) for x, c, _ in bins)
-        k = rng.randint(1, 5)
-        best = min(cost((*some_tops, lengths[-1])) for n in range(k) for some_tops in combinations(lengths[:-1], n))
-        got = packing.optimal_boundaries(bins, k)
-        assert len(got) <= k and got[-1] == lengths[-1] and cost(got) == best
-
-
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     v = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(150)] + [(150, None), (151, [1.0, None]), (152, [float("nan")] * 6), (None, [1.0] * 6), (153, []), (100, [0.5] * 6), (154, [1.0, 2.0])]

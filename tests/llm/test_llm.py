@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, exact_dedup, html_extract, language_id, mixing, near_dup, suffix_dedup, top_k
+from tidemark.llm import chat_format, html_extract, language_id, mixing, near_dup, suffix_dedup, top_k
 from tidemark.llm.common import running_total
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _uid long, size string, digest string"
@@ -44,29 +44,6 @@ def none(spark):
 norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
 
 
-def test_exact_dedup(spark, table, none):
-    groups = collections.defaultdict(list)
-    for i, t, _, _ in some():
-        groups[norm(t)].append(i)
-    rows = exact_dedup.exact_dedup(table).collect()
-    assert len(rows) == len(some()) and sum(r.kept for r in rows) == len(groups)
-    by = {hashlib.sha256(t.encode()).hexdigest(): v for t, v in groups.items()}
-    for r in rows:
-        g = by[r.text_sha256]
-        assert r.group_size == len(g) and r.keep_id == min((x for x in g if x is not None), default=None)
-    kept = exact_dedup.keep_first(table)
-    assert kept.count() == len(groups) and kept.columns == table.columns and {(r._uid, r.digest) for r in kept.collect()} == {(1, "y")}
-    assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.keep_first(none).count() == 0
-
-
-def test_index_merges_batches(spark):
-    index = exact_dedup.DigestIndex(spark, fan_in=2)
-    for ids in ([5, 3], [4, 1]):
-        index.add(spark.createDataFrame([("d", i, i) for i in ids], "digest string, doc_id long, uid long"))
-    r = index.level.first()
-    assert r["first"]["doc_id"] == 1 and r["rows"] == 4 and not index.runs
-
-
 def test_chat_round_trip(spark):
     rows = [(1, 0, "system", "be [INST] brief"), (1, 1, "user", "a\\e<b>"), (1, 2, "assistant", "</s>\n ok"), (2, 0, "assistant", "x"), (2, 1, "tool]", "[[\\b"), (2, 2, None, None), (None, 0, "user", "")]
     out = {r.conv_id: r for r in chat_format.read_back(chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}

@@ -34,13 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, *by: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet (a folder for each value of ``by``) to the shared folder and read it again.
+
+    Cuts the lineage, and survives lost executors.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
     for record in _records:
         record.append(path)
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    df.write.partitionBy(*by).options(**({"compression": "zstd"} | options)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, html_extract, language_id, mixing, near_dup, suffix_dedup, top_k
+from tidemark.llm import html_extract, language_id, mixing, near_dup, suffix_dedup, top_k
 from tidemark.llm.common import running_total
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _uid long, size string, digest string"
@@ -44,14 +44,6 @@ def none(spark):
 norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
 
 
-def test_chat_round_trip(spark):
-    rows = [(1, 0, "system", "be [INST] brief"), (1, 1, "user", "a\\e<b>"), (1, 2, "assistant", "</s>\n ok"), (2, 0, "assistant", "x"), (2, 1, "tool]", "[[\\b"), (2, 2, None, None), (None, 0, "user", "")]
-    out = {r.conv_id: r for r in chat_format.read_back(chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
-    assert [(t.role, t.text) for t in out[1].turns] == [r[2:] for r in rows[:3]] and out[1].loss_text == "</s>\n ok" and out[1].valid
-    assert [(t.role, t.text) for t in out[2].turns] == [("assistant", "x"), ("tool]", "[[\\b"), ("", "")] and not out[2].valid and out[2].loss_text == "x"
-    assert out[None].valid and chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
-
-
 def test_mixing(spark, table, none):
     rows = mixing.mix_counts(table).collect()
     taken, target = collections.Counter(), {}

@@ -30,7 +30,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
     return chats.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(F.transform("turns", line), ""), 256).alias("turns_sha256"),
-        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid", "end_state")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +75,15 @@ ORACLES = {
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
             UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        , steps AS (SELECT *, lag(role) OVER o AS came, lead(role) OVER o AS goes, row_number() OVER o AS place, count(*) OVER (PARTITION BY conv_id) AS n FROM rows WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text))
         SELECT conv_id, count(*) AS n_turns,
+               bool_and(CASE WHEN place = 1 THEN role IN ('system', 'user') WHEN came = 'user' THEN role = 'assistant' WHEN came IN ('system', 'assistant') THEN role = 'user' ELSE false END AND (place < n OR role IN ('user', 'assistant'))) AS valid,
+               max(CASE WHEN place = n THEN CASE WHEN role IN ('system', 'user', 'assistant') THEN role ELSE 'other' END END) AS end_state,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length({_ESCAPED}) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 16 + length(role) END) AS BIGINT) AS formatted_chars
-        FROM rows GROUP BY conv_id""",
+        FROM steps GROUP BY conv_id""",
     "op8_exact_dedup": r"""
         WITH norm AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_extract, language_id, mixing, near_dup, suffix_dedup, top_k
+from tidemark.llm import html_extract, language_id, mixing, suffix_dedup, top_k
 from tidemark.llm.common import running_total
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _uid long, size string, digest string"
@@ -120,22 +120,6 @@ def test_suffix_dedup(spark, table, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
-def test_near_dup(spark, table, none):
-    rep = {}
-    for i, t, _, _ in some():
-        k = norm(t).strip()
-        rep[k] = min((x for x in (rep.get(k), i) if x is not None), default=None)
-    grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} if t else set()
-    s = {t: grams(t) for t in rep}
-    links = {t: sum(1 for u in s if u != t and s[t] and len(s[t] & s[u]) >= 0.8 * len(s[t] | s[u])) for t in s}
-    want = sorted((i if i is not None else -1, links[norm(t).strip()]) for i, t, _, _ in some())
-    rows = near_dup.jaccard_classes(table).collect()
-    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_links) for r in rows) == want and max(links.values()) > 0
-    assert near_dup.keep_one(table).count() == len({r.class_id if r.class_id is not None else -1 for r in rows})
-    assert near_dup.jaccard_classes(none).count() == 0
-    assert near_dup.prefix_depth() == 6
-
-
 def test_language_id(spark, none):
     rows = [(i, "the cat sat on the mat and then the dog ran", "en", "a") for i in range(30)] + [(100 + i, "der hund und die katze sind nicht im haus", "de", "a") for i in range(30)]
     model = language_id.fit(docs(spark, rows))

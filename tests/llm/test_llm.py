@@ -101,7 +101,7 @@ def test_top_k(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-def test_suffix_dedup(spark, table, none):
+def test_suffix_dedup(spark, table, none, monkeypatch):
     L = 40
     texts = [(i, (t or "").encode()) for i, t, _, _ in some()]
     seen = collections.Counter(t[k : k + L] for _, t in texts for k in range(len(t) - L + 1))
@@ -112,11 +112,11 @@ def test_suffix_dedup(spark, table, none):
             if seen[t[k : k + L]] > 1:
                 m[k : k + L] = b"\1" * L
         want.append((i, len(t), sum(m), len([s for s in bytes(m).split(b"\0") if s]), hashlib.sha256(bytes(b for b, x in zip(t, m) if not x)).hexdigest()))
-    for wide in (2048, 1):
-        suffix_dedup.WIDE = wide
+    for wide, batch in ((2048, 1 << 20), (1, 1 << 20), (2048, 700)):  # 700: long texts are read in overlapping parts
+        monkeypatch.setattr(suffix_dedup, "WIDE", wide)
+        monkeypatch.setattr(suffix_dedup, "BATCH", batch)
         got = [tuple(r) for r in suffix_dedup.remove_repeats(table, L).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
-    suffix_dedup.WIDE = 2048
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 

@@ -3,7 +3,7 @@
 A window (``length`` bytes) is repeated if the same bytes start anywhere else. Each window has an anchor: its
 lowest-hashed CHUNK bytes, which a repetition of the window has at the same offset. The windows of one anchor
 lie in one stretch of the text, and stretches are compared first: if no other stretch has the chunk, none of
-its windows is repeated; if an equal stretch exists, all are. What is left, stretches that share a chunk and
+its windows is repeated; if an equal stretch exists (by a 128-bit BLAKE2b digest of its bytes), all are. What is left, stretches that share a chunk and
 differ elsewhere, goes through the suffix sort, one stretch for each different content, as the suffix that
 starts at the anchor: sorted runs, front-coded, are exchanged by key range, and a loser tree that knows the
 common prefixes merges them. Windows of neighbours are then told apart by those prefixes and their left sides.
@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import drop_tables, materialize, maybe_broadcast, recorded
 
 LENGTH = 200
 CHUNK_SHARE = 0.32
@@ -34,7 +34,7 @@ _INDEX = _U((1 << 22) - 1)
 
 
 class Hasher:
-    """Hashes of all substrings of a buffer: sums of random byte values times powers of an odd base, mod 2^64."""
+    """Hashes of all chunks of a buffer: sums of random byte values times powers of an odd base, mod 2^64."""
 
     def __init__(self, most: int) -> None:
         rng = np.random.default_rng(11)
@@ -47,10 +47,6 @@ class Hasher:
         np.cumsum(self.values[buffer] * self.powers[: len(buffer)], out=out[1:])
         return out
 
-    def span(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (prefix[end] - prefix[start]) * self.inverses[start]
-        return h ^ (h >> _U(31))
-
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of x[i : i + width] for every i, from running minima inside blocks of ``width``."""
@@ -63,15 +59,19 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(texts: list[bytes], hasher: Hasher, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(text number, first window, windows, bytes before the anchor, chunk hash, content hash) of every stretch."""
+    """(text number, first window, windows, bytes before the anchor, chunk hash, content digest) of every stretch.
+
+    The digest, two columns of 64 bits, is a cryptographic one (BLAKE2b) of the stretch's bytes and its shape.
+    """
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
     chunk = max(1, int(length * CHUNK_SHARE))
     width = length - chunk + 1
-    buffer = np.frombuffer(b"".join(texts), np.uint8)
+    whole = b"".join(texts)
+    buffer = np.frombuffer(whole, np.uint8)
     empty = np.empty(0, np.int64)
     if len(buffer) < length:
-        return (empty,) * 6
+        return (*(empty,) * 5, np.empty((0, 2), np.int64))
     prefix = hasher.prefix(buffer)
     n = len(buffer) - chunk + 1
     value = (prefix[chunk:] - prefix[:n]) * hasher.inverses[:n]
@@ -86,15 +86,14 @@ def stretches(texts: list[bytes], hasher: Hasher, length: int = LENGTH) -> tuple
     start[1:] &= (anchor[1:] != anchor[:-1]) | ~fits[:-1] | (whose[1:] != whose[:-1])
     first = np.flatnonzero(start)
     if not len(first):
-        return (empty,) * 6
+        return (*(empty,) * 5, np.empty((0, 2), np.int64))
     stop = np.flatnonzero(fits & ~np.concatenate([fits[1:] & ~start[1:], [False]]))
-    windows = stop - first + 1
     at = anchor[first]
-    shape = ((at - first).astype(_U) << _U(32)) | windows.astype(_U)
-    content = hasher.span(prefix, first, stop + length) + shape * _U(0x94D049BB133111EB)
-    content ^= content >> _U(29)
+    blake = hashlib.blake2b
+    # The place of the anchor goes in too: equal bytes with another anchor are another shape.
+    digests = b"".join([blake(whole[a:z], digest_size=16, salt=b"%d" % o).digest() for a, z, o in zip(first.tolist(), (stop + length).tolist(), (at - first).tolist())])
     text = whose[first]
-    return text, first - (ends - sizes)[text], windows, at - first, value[at].view(np.int64), content.view(np.int64)
+    return text, first - (ends - sizes)[text], stop - first + 1, at - first, value[at].view(np.int64), np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
 def front_code(keys: list[bytes]) -> bytes:
@@ -265,21 +264,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     t = some[0]
                     for s in range(0, len(t), BATCH - length + 1):
                         _, f, w, o, h, c = stretches([t[s : s + BATCH]], hasher, length)
-                        yield pd.DataFrame({"uid": np.full(len(f), names[0]), "first": f + s, "windows": w, "left": o, "chunk": h, "content": c})
+                        yield pd.DataFrame({"uid": np.full(len(f), names[0]), "first": f + s, "windows": w, "left": o, "chunk": h, "content": c[:, 0], "more": c[:, 1]})
                 else:
                     k, f, w, o, h, c = stretches(some, hasher, length)
-                    yield pd.DataFrame({"uid": names[k], "first": f, "windows": w, "left": o, "chunk": h, "content": c})
+                    yield pd.DataFrame({"uid": names[k], "first": f, "windows": w, "left": o, "chunk": h, "content": c[:, 0], "more": c[:, 1]})
                 at = end
 
-    kinds = "uid long, first long, windows long, left long, chunk long, content long"
-    seen = materialize(docs.mapInPandas(scan, kinds).select("uid", F.col("first").cast("int"), F.col("windows").cast("short"), F.col("left").cast("short"), "chunk", "content"), "stretches")
-    # Stretches whose chunk occurs once go first; what follows works on the few that are left.
-    often = seen.groupBy("chunk").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select(F.col("chunk").alias("c"))
+    kinds = "uid long, first long, windows long, left long, chunk long, content long, more long"
+    early: list[str] = []
+    with recorded(early):
+        seen = materialize(docs.mapInPandas(scan, kinds).select("uid", F.col("first").cast("int"), F.col("windows").cast("short"), F.col("left").cast("short"), "chunk", "content", "more"), "stretches")
+        # Stretches whose chunk occurs once go first; what follows works on the few that are left. Sums are written before
+        # they are joined: then both sides of a join are plain, and Spark can split what one hot chunk has.
+        often = materialize(seen.groupBy("chunk").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select(F.col("chunk").alias("c")), "often")
     seen = materialize(seen.join(often, F.col("chunk") == F.col("c"), "left_semi"), "shared")
-    contents = seen.groupBy("chunk", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "first")).alias("own"))
-    chunks = contents.groupBy("chunk").agg(F.count(F.lit(1)).alias("kinds")).select(F.col("chunk").alias("c"), "kinds")
-    shared = contents.join(chunks, F.col("chunk") == F.col("c")).select(F.col("chunk").alias("c"), F.col("content").alias("d"), (F.col("n") > 1).alias("whole"), (F.col("kinds") > 1).alias("open"), (F.col("kinds") > WIDE).alias("wide"), F.col("own.uid").alias("u"), F.col("own.first").alias("f"))
-    marked = seen.join(shared, (F.col("chunk") == F.col("c")) & (F.col("content") == F.col("d"))).select("uid", "first", "windows", "left", "whole", "wide", (F.col("open") & (F.col("uid") == F.col("u")) & (F.col("first") == F.col("f"))).alias("open")).where("whole OR open")
+    drop_tables(spark, early, [])
+    contents = materialize(seen.groupBy("chunk", "content", "more").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "first")).alias("own")), "contents")
+    chunks = materialize(contents.groupBy("chunk").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(F.col("chunk").alias("c"), "kinds"), "chunks")
+    shared = contents.join(chunks, F.col("chunk") == F.col("c"), "left").where("n > 1 OR kinds > 1").select(F.col("chunk").alias("c"), F.col("content").alias("d"), F.col("more").alias("e"), (F.col("n") > 1).alias("whole"), F.col("kinds").isNotNull().alias("open"), (F.coalesce("kinds", F.lit(1)) > WIDE).alias("wide"), F.col("own.uid").alias("u"), F.col("own.first").alias("f"))
+    marked = seen.join(shared, (F.col("chunk") == F.col("c")) & (F.col("content") == F.col("d")) & (F.col("more") == F.col("e"))).select("uid", "first", "windows", "left", "whole", "wide", (F.col("open") & (F.col("uid") == F.col("u")) & (F.col("first") == F.col("f"))).alias("open")).where("whole OR open")
     marked = materialize(marked.groupBy("uid").agg(F.collect_list(F.struct("first", "windows", "left", "whole", "wide", "open")).alias("parts")), "marked")
     n = marked.count()
     # Suffix runs of the stretches whose windows have to be compared.

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_extract, language_id, mixing, suffix_dedup, top_k
+from tidemark.llm import language_id, mixing, suffix_dedup, top_k
 from tidemark.llm.common import running_total
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _uid long, size string, digest string"
@@ -129,42 +129,6 @@ def test_language_id(spark, none):
     assert language_id.identify(none, model).count() == 0 and language_id.fit(none) == ([], [], {})
 
 
-def test_html(spark):
-    page = "<html><head><title>T</title></head><body><nav><li>menu</ul></nav><header>Top</header><div class='promo x'>buy</div><article><h1>Head</h1><p>One <b>t</b>wo<br>three &amp; <p>four<script>var a='<p>';</script><div id=comments>c</div></article><footer>f</footer></body></html>"
-    common = "<body><div class=a>Same on all</div><div class=b>Text {0} of page {0}</div></body>"
-    rows = [(1, "http://a.b/1", page), (2, None, None), (3, "http://a.b/2", "no <markup")] + [(10 + i, f"http://h.x/{i}", common.format(i)) for i in range(6)]
-    got = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[1].text == "Head One two three & four" and got[2].text == "" and got[3].text.startswith("no")
-    assert got[10].text == "Text 0 of page 0" and got[10].n_chars == 16
-    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
-def extracted(spark, pages):
-    rows = [(i, f"http://h.x/{i}", html) for i, html in enumerate(pages)]
-    return [r.text for r in sorted(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())]
-
-
-def test_html_tree_judges_inside_the_article(spark):
-    own = lambda i: f"Own words {i} of page {i}"
-    pages = [f"<body><main><p>Body {i}</p><article><p>{own(i)}</p><div class=box>Read our rules</div></article></main></body>" for i in range(6)]
-    assert extracted(spark, pages) == [f"Body {i} {own(i)}" for i in range(6)]
-    # Copies of one page are no boilerplate.
-    assert extracted(spark, pages[:1] * 5) == [f"Body 0 {own(0)} Read our rules"] * 5
-
-
-def test_html_host_size_changes_nothing(spark):
-    page = lambda i: f"<div class=text>Own words {i} of {i * i}</div>" + "<div class=campaign>Closed today</div>" * (i < 4)
-    for n in (20, 400):
-        assert extracted(spark, [page(i) for i in range(n)]) == [f"Own words {i} of {i * i}" for i in range(n)]
-
-
-def test_html_words_around_the_article(spark):
-    text = "<p>Text</p><div class=comments>c</div>"
-    pages = [f"<body class=has-sidebar><article>{text}</article></body>", f"<body><article class='post has-sidebar'>{text}</article></body>", f"<div class=with-sidebar><main>{text}</main></div>",
-             f"<div class=with-sidebar>s<article>{text}</article></div>", f"<article>{text}<article class=comment>no</article></article><div class=ad>a</div>", "<div class=ad>a</div><nav>n</nav>"]
-    assert extracted(spark, pages) == ["Text"] * 5 + [""]
-
-
 def test_running_total(spark):
     df = spark.createDataFrame([(i % 2, i, i) for i in range(50)] + [(None, 7, 100)], "k long, o long, w long")
     rows = running_total(df, ["k"], "o", "w", 8, "w").collect()

@@ -18,14 +18,14 @@ from .common import maybe_broadcast, materialize
 GAMMA, LEAST_PAGES, LOW = 0.9, 4, 0.2
 
 # Fixed values of HTML: element names by their role.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript iframe textarea template xmp noembed noframes svg math object select".split())
+RAW = frozenset("script style noscript iframe textarea template noembed noframes svg".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ENDS_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol table dl article section div aside nav header footer main body html".split())
 # What is not the article, by element, by role and by word of a class or id.
-NOISE_TAGS = frozenset("head title nav aside footer form menu dialog button input label".split())
+NOISE_TAGS = frozenset("head title nav aside footer form menu dialog button input label select".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related reply replies share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget".split())
 #: Elements that hold the page: a word of their class ("has-sidebar") says what is in them, not what they are.
@@ -37,27 +37,29 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Page:
-    """Blocks of text with the chain of nodes that hold them, and the children of each node.
+    """Blocks of text with the node that holds them, and the nodes' parents and children.
 
-    A node is named by its path: element names with the words of class and id. ``blocks`` has (text, nodes,
-    noise); noise is 0 for what may be the article, 1 inside an article or main that only a word of a class or
-    id around it speaks against, else 2.
+    A node is named by its path of element names with the words of class and id; the name is a hash of the parent's
+    and its own, so that names don't grow with the depth. ``blocks`` has (text, node, noise); noise is 0 for what may
+    be the article, 1 inside an article or main that only a word of a class or id around it speaks against, else 2.
+    Text of an inline element that is noise is left out of its block.
     """
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[str, tuple[str, ...], int]] = []
-        self.children: dict[str, list[str]] = {}
-        self._stack: list[tuple[str, str, int, bool, bool]] = [("", "", 0, False, True)]  # tag, path, noise, inside article or main, is a block
-        self._nodes: list[str] = []
+        self.blocks: list[tuple[str, int, int]] = []
+        self.parents: dict[int, int] = {}
+        self.children: dict[int, list[str]] = {}
+        # Tag, node, noise, inside article or main, is a block, and says nothing.
+        self._stack: list[tuple[str, int, int, bool, bool, bool]] = [("", 0, 0, False, True, False)]
         self._text: list[str] = []
         at, n = 0, len(source)
         while at < n:
             m = _TAG.search(source, at)
+            end = m.start() if m else n
+            if end > at and not self._stack[-1][5]:
+                self._text.append(source[at:end])
             if not m:
-                self._text.append(source[at:])
                 break
-            if m.start() > at:
-                self._text.append(source[at : m.start()])
             at = m.end()
             close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
             if not tag:
@@ -66,9 +68,9 @@ class Page:
             if close:
                 self._close(tag)
             elif tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
                 if not attrs.rstrip().endswith("/"):
-                    at = end.end() if end else n
+                    over = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+                    at = over.end() if over else n
             else:
                 self._open(tag, attrs)
         self._flush()
@@ -77,8 +79,8 @@ class Page:
         text = " ".join(html.unescape("".join(self._text)).split())
         self._text = []
         if text:
-            _, _, noise, zone, _ = self._stack[-1]
-            self.blocks.append((text, tuple(dict.fromkeys(s[1] for s in self._stack if s[4] and s[1])), 2 if noise and not zone else noise))
+            noise, zone = next(s[2:4] for s in reversed(self._stack) if s[4])
+            self.blocks.append((text, self._stack[-1][1], 2 if noise and not zone else noise))
 
     def _pop_to(self, tags: tuple[str, ...], stop: frozenset[str]) -> None:
         for i in range(len(self._stack) - 1, 0, -1):
@@ -102,7 +104,8 @@ class Page:
                 self._pop_to(ENDS_OWN[tag], SCOPES - {tag})
         if tag in VOID:
             return
-        _, path, noise, zone, _ = self._stack[-1]
+        _, node, before, zone, _, mute = self._stack[-1]
+        noise = before
         words: list[str] = []
         names: list[str] = []
         role = ""
@@ -119,13 +122,15 @@ class Page:
         if tag in NOISE_TAGS or (tag == "header" and not zone) or role in NOISE_ROLES or ("hidden" in attrs and bool(re.search(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))", attrs))):
             noise = 2
         # An article is a comment or an advert only if a whole name says so.
-        elif tag not in HOLDERS and any(w in NOISE_WORDS for w in (names if tag == "article" else words)):
+        elif tag not in HOLDERS and any(n in NOISE_WORDS if tag == "article" else _names_noise(n) for n in names):
             noise = max(noise, 2 if zone else 1)
         if block:
-            self.children.setdefault(path, []).append(tag)
-            path = f"{path}/{tag}" + "".join(f".{w}" for w in sorted(set(words)))
+            self.children.setdefault(node, []).append(tag)
+            parent, name = node, tag + "".join(f".{w}" for w in sorted(set(words)))
+            node = int.from_bytes(hashlib.blake2b(f"{parent}/{name}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+            self.parents.setdefault(node, parent)
             zone = zone or tag in ("article", "main") or role == "main"
-        self._stack.append((tag, path, noise, zone, block))
+        self._stack.append((tag, node, noise, zone, block, not block and (mute or noise > before)))
 
     def _close(self, tag: str) -> None:
         for i in range(len(self._stack) - 1, 0, -1):
@@ -137,29 +142,49 @@ class Page:
             if tag not in BLOCKS and self._stack[i][4]:
                 return  # an inline end never closes a block
 
-    def nodes(self) -> list[tuple[str, int, int]]:
-        """(node, hash of its children's order, hash of all its text) for each node that has text."""
-        texts: dict[str, int] = {}
-        for text, chain, _ in self.blocks:
-            code = text.encode("utf-8", "surrogatepass")
-            for node in chain:
-                texts[node] = zlib.crc32(code, texts.get(node, 0))
+    def nodes(self) -> list[tuple[int, int, int, int]]:
+        """(node, parent, hash of its children's order, hash of all its text) for each node that has text, parents first."""
+        own: dict[int, list[bytes]] = {}
+        for text, node, _ in self.blocks:
+            own.setdefault(node, []).append(text.encode("utf-8", "surrogatepass"))
+        for node in list(own):
+            while node and (parent := self.parents[node]) not in own:
+                own[parent] = []
+                node = parent
+        own.pop(0, None)
+        # Every node was met after its parent; content goes from the children up.
+        order = [node for node in self.parents if node in own]
+        content = {node: zlib.crc32(b"\0".join(own[node])) for node in order}
+        for node in reversed(order):
+            if self.parents[node]:
+                parent = self.parents[node]
+                content[parent] = zlib.crc32(content[node].to_bytes(4, "big"), content[parent])
         style = lambda node: zlib.crc32(" ".join(t for t, _ in groupby(self.children.get(node, []))).encode())
-        return [(node, style(node), code) for node, code in texts.items()]
+        return [(node, self.parents[node], style(node), content[node]) for node in order]
 
     def code(self) -> int:
         """A 64-bit hash of the page's whole text."""
         text = "\0".join(text for text, _, _ in self.blocks).encode("utf-8", "surrogatepass")
         return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big", signed=True)
 
-    def article(self) -> list[tuple[str, tuple[str, ...]]]:
-        """(text, nodes) of the blocks that aren't noise by name. Where words around the article leave nothing, they don't count."""
+    def article(self) -> list[tuple[str, int]]:
+        """(text, node) of the blocks that aren't noise by name. Where words around the article leave nothing, they don't count."""
         least = min((noise for _, _, noise in self.blocks), default=0)
-        return [(text, chain) for text, chain, noise in self.blocks if noise <= min(least, 1)]
+        return [(text, node) for text, node, noise in self.blocks if noise <= min(least, 1)]
+
+
+def _names_noise(name: str) -> bool:
+    """Whether the first or the last word of a class or id is a noise word: "share-buttons", not "post-share-price"."""
+    words = _WORDS.findall(name)
+    return bool(words) and (words[0] in NOISE_WORDS or words[-1] in NOISE_WORDS)
+
+
+BLOCK = "struct<text:string,node:int>"
+NODE = "struct<number:int,parent:int,node:long,style:long,content:long>"
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, blocks (text, numbers of its nodes), nodes (number, node, style, content), page (hash of all text)."""
+    """page_id, url, host, page (hash of all text), blocks (text, number of its node), nodes (number, parent's, name, style, content)."""
 
     def read(batches):
         for b in batches:
@@ -167,14 +192,31 @@ def parse(pages: DataFrame) -> DataFrame:
             for page_id, url, host, source in zip(b["page_id"], b["url"], b["host"], b["html"]):
                 page = Page(source or "")
                 nodes = page.nodes()
-                number = {node: i for i, (node, _, _) in enumerate(nodes)}
-                blocks = [{"text": text, "nodes": [number[node] for node in chain]} for text, chain in page.article()]
-                rows.append((page_id, url, host, page.code(), blocks, [{"number": number[n], "node": n, "style": style, "content": content} for n, style, content in nodes]))
+                number = {node: i for i, (node, *_) in enumerate(nodes)}
+                blocks = [{"text": text, "node": number.get(node, -1)} for text, node in page.article()]
+                rows.append((page_id, url, host, page.code(), blocks, [{"number": i, "parent": number.get(parent, -1), "node": n, "style": style, "content": content} for i, (n, parent, style, content) in enumerate(nodes)]))
             yield pd.DataFrame(rows, columns=["page_id", "url", "host", "page", "blocks", "nodes"])
 
     kind = dict(pages.dtypes)["page_id"]
-    return pages.select("page_id", "url", "host", "html").mapInPandas(
-        read, f"page_id {kind}, url string, host string, page long, blocks array<struct<text:string,nodes:array<int>>>, nodes array<struct<number:int,node:string,style:long,content:long>>")
+    return pages.select("page_id", "url", "host", "html").mapInPandas(read, f"page_id {kind}, url string, host string, page long, blocks array<{BLOCK}>, nodes array<{NODE}>")
+
+
+def without_low(pages: DataFrame) -> DataFrame:
+    """page_id, url, text from (page_id, url, blocks, nodes, low): a block goes if a node above it is low."""
+
+    def read(batches):
+        for b in batches:
+            texts = []
+            for blocks, nodes, low in zip(b["blocks"], b["nodes"], b["low"]):
+                gone = set() if low is None else set(low)
+                if gone:
+                    for n in nodes:  # parents first
+                        if n["parent"] in gone:
+                            gone.add(n["number"])
+                texts.append(" ".join(x["text"] for x in blocks if x["node"] not in gone))
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts})
+
+    return pages.select("page_id", "url", "blocks", "nodes", "low").mapInPandas(read, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string")
 
 
 def style_tree(parsed: DataFrame) -> DataFrame:
@@ -198,21 +240,21 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Elements that are never the article (menus, headers, footers, forms, comments and so on) go by their names;
     the style tree of the host then removes branches whose presentation and content hardly differ over its
-    pages, inside article and main too. What is left is kept wherever it lies. Null html is an empty page with empty text; pages with null url form one host. Repeated rows are
-    kept; other columns are ignored.
+    pages, inside article and main too. What is left is kept wherever it lies. Null html is an empty page with empty
+    text; pages with null url form one host. Repeated rows are kept, and as copies of one page don't make it
+    boilerplate; other columns are ignored, whatever their names; an empty table gives no rows. Unclosed elements end
+    with what holds them or with the page; depth costs no more than length.
     """
     base = pages.select("page_id", "url", "html", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit("")).alias("host"))
     # Every page is parsed once; what its tree needs is written with its text.
     parsed = materialize(parse(base).withColumn("_uid", F.monotonically_increasing_id()), "pages")
     low = materialize(style_tree(parsed).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") <= LOW)).select(F.col("host").alias("low_host"), F.col("node").alias("low_node")), "low")
-    count, size = low.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("low_host") + F.length("low_node") + 64), F.lit(0))).first()
-    if count:
-        # By (host, node), so that neither a host's number of low nodes nor that of its pages meets in a row.
-        nodes = parsed.select("_uid", "host", F.explode("nodes").alias("n")).select("_uid", "host", "n.number", "n.node")
-        found = nodes.join(maybe_broadcast(low, size, 1), (F.col("host") == F.col("low_host")) & (F.col("node") == F.col("low_node")))
-        parsed = parsed.join(found.groupBy(F.col("_uid").alias("_u")).agg(F.collect_set("number").alias("low")), F.col("_uid") == F.col("_u"), "left")
-    else:
-        parsed = parsed.withColumn("low", F.array().cast("array<int>"))
-    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["nodes"], F.coalesce("low", F.array().cast("array<int>"))))
-    text = F.array_join(F.transform(left, lambda b: b["text"]), " ")
-    return parsed.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    count, size = low.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("low_host") + 72), F.lit(0))).first()
+    if not count:
+        return parsed.select("page_id", "url", F.array_join(F.transform("blocks", lambda b: b["text"]), " ").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    # By (host, node), so that neither a host's number of low nodes nor that of its pages meets in a row.
+    nodes = parsed.select("_uid", "host", F.explode("nodes").alias("n")).select("_uid", "host", "n.number", "n.node")
+    found = nodes.join(maybe_broadcast(low, size, 1), (F.col("host") == F.col("low_host")) & (F.col("node") == F.col("low_node")))
+    marks = materialize(found.groupBy(F.col("_uid").alias("_u")).agg(F.collect_set("number").alias("low")), "marks")
+    joined = parsed.join(marks, F.col("_uid") == F.col("_u"), "left")
+    return without_low(joined).withColumn("n_chars", F.length("text").cast("long"))

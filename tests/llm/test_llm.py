@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, mixing, suffix_dedup, top_k
+from tidemark.llm import language_id, suffix_dedup, top_k
 from tidemark.llm.common import running_total
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _uid long, size string, digest string"
@@ -44,50 +44,6 @@ def none(spark):
 norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
 
 
-def test_mixing(spark, table, none):
-    rows = mixing.mix_counts(table).collect()
-    taken, target = collections.Counter(), {}
-    for r in rows:
-        assert 0 <= r.taken <= 3 * r["size"]
-        k = (round(r.target, 6), r.source_size)
-        taken[k] += r.taken
-        target[k] = r.target
-    assert len(rows) == len(some()) and all(abs(taken[k] - target[k]) <= 4 for k in target)
-    assert mixing.water_level([10, 100, 100], [5, 1, 1]) == [30.0, 90.0, 90.0]
-    assert mixing.mix_counts(none).count() == 0
-    mixed = mixing.mixed_documents(table)
-    assert {(r._uid, r["size"]) for r in mixed.collect()} == {(1, "x")}
-    assert mixed.columns == table.columns and sum(len((r.text or "").split()) for r in mixed.collect()) == sum(r.taken for r in rows)
-
-
-def test_mixing_meets_targets_below_a_block(spark):
-    rows = [(i, "w " * (2000 if i < 4 else 3), "en", f"s{min(i, 4) + (i > 4) * (i - 4):02}") for i in range(40)]
-    taken, staged, _ = mixing.mix(docs(spark, rows), slots=16)
-    got = collections.Counter()
-    for r in taken.join(staged, F.col("_u") == F.col("_uid")).select("row.source", "size", "target", "copies", "cut").collect():
-        got[r.source, r.target] += r.copies * r["size"] + r.cut
-    assert len(got) == 40 and all(n == round(target) > 0 for (_, target), n in got.items())
-    plan = sorted(mixing.schedule(spark, [5, 0, 1, 30]).collect())
-    assert [r.slot for r in plan] == list(range(36)) and collections.Counter(r.source_no for r in plan) == {0: 5, 2: 1, 3: 30}
-
-
-def test_mixed_rows_follow_the_schedule(spark):
-    source = {i: "ab"[i >= 20] for i in range(40)}
-    rows = [(i, f"w{i}  x y", "en", source[i]) for i in source]
-    plan = [r.source_no for r in sorted(mixing.schedule(spark, [86, 34]).collect())]
-    seen, want = collections.Counter(), []
-    for s in plan:
-        if seen[s] % 3 == 0:  # a document's first word
-            want.append("ab"[s])
-        seen[s] += 1
-    for whole in (False, True):
-        got = mixing.mixed_documents(docs(spark, rows), whole).collect()
-        assert [r.source for r in got] == want
-        assert sum(r.text != f"w{r.doc_id}  x y" for r in got) == (0 if whole else 2)
-    places = [p for r in mixing.mix(docs(spark, rows))[0].collect() for p in r.places or []]
-    assert sorted(x.slot for p in places for x in p.parts) == list(range(120)) and all([x.first_word for x in p.parts] == list(range(len(p.parts))) for p in places)
-
-
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     v = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(150)] + [(150, None), (151, [1.0, None]), (152, [float("nan")] * 6), (None, [1.0] * 6), (153, []), (100, [0.5] * 6), (154, [1.0, 2.0])]

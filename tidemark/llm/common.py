@@ -37,13 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str, *by: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet (a folder for each value of ``by``) to the shared folder and read it again.
 
-    Cuts the lineage, and survives lost executors.
+    Cuts the lineage, and survives lost executors. What nobody deletes before goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
     for record in _records:
         record.append(path)
     df.write.partitionBy(*by).options(**({"compression": "zstd"} | options)).parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 

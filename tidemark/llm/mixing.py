@@ -64,7 +64,8 @@ def mix(docs: DataFrame, slots: int = SLOTS, most: int = MOST_REPEATS) -> tuple[
     partial pass) and places: for each pass the parts (slot, first word, words) of the slots that take it, in slot
     order. A source's documents are laid in hash order on a line of tokens,
     which is cut into blocks and repeats up to ``most`` times; block r of the line goes to the source's slot
-    of rank r. The last block ends at the target, rounded to a word, so every source gives just that. Null and empty texts have size 0 and are never taken. Null source is a source, sorted last.
+    of rank r. The last block ends at the target, rounded to a word, so every source gives just that. Null and empty
+    texts have size 0 and are never taken. Null source is a source, sorted last.
     The number of distinct sources is taken to fit the driver (one row each).
     """
     spark = docs.sparkSession
@@ -99,7 +100,11 @@ def mix(docs: DataFrame, slots: int = SLOTS, most: int = MOST_REPEATS) -> tuple[
 
 
 def mix_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every document."""
+    """doc_id, size, source_size, target, taken for every document.
+
+    Nulls as in ``mix``; repeated rows are documents of their own, documents of one hash go by their row; other columns
+    are ignored, whatever their names; an empty table gives no rows.
+    """
     taken, staged, _ = mix(docs.select("doc_id", "text", "source"))
     slim = staged.select("_uid", F.col("row.doc_id").alias("doc_id"), "size")
     return slim.join(taken, F.col("_uid") == F.col("_u")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("cut")).alias("taken"))
@@ -108,7 +113,8 @@ def mix_counts(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, whole: bool = False) -> DataFrame:
     """The mix as documents, in the order of the slots in which they begin: a row for each pass.
 
-    The document at which a source's words end has its first words only, or all of them if ``whole``.
+    The document at which a source's words end has its first words only, or all of them if ``whole``. Nulls, ties and
+    repeated rows as in ``mix_counts``; other columns pass unchanged, whatever their names.
     """
     taken, staged, rows = mix(docs)
     columns = docs.columns

@@ -91,11 +91,3 @@ def test_running_total(spark):
     for k in (0, 1, None):
         mine = sorted((r.position, r.w) for r in rows if r.k == k)
         assert [p for p, _ in mine] == [sum(w for _, w in mine[:i]) for i in range(len(mine))]
-
-
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-
-    docs(spark, some()).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
-    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert rows and all(0 <= r.padding for r in rows)

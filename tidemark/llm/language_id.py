@@ -207,7 +207,7 @@ class Scorer:
         self.langs, self.prior = langs, np.array(prior)
         self.lattice = Lattice(list(pieces))
         width = len(langs)
-        self.probs = np.array([*pieces.values(), (UNKNOWN,) * width, (0.0,) * width]).reshape(-1, width)
+        self.probs = np.array([*pieces.values(), (UNKNOWN,) * width, (0.0,) * width], dtype="float64").reshape(len(pieces) + 2, width)
         self.index: dict[str, int] = {}
         self.rows = np.empty((1024, width))
 

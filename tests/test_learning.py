@@ -78,7 +78,7 @@ def test_clusters_stability_and_tau(spark):
 
 
 def test_model_follows_drift_and_round_trips(spark, tmp_path):
-    m = IncrementalBooster(n_estimators_per_batch=8, num_leaves=8, n_bins=32, window_batches=2)
+    m = IncrementalBooster(n_estimators_per_batch=8, num_leaves=8, n_bins=32, max_stored_batches=2)
     m.fit(frame(spark, *data(800, 6)), features=list(NAMES), order="t")
     m.partial_fit(frame(spark, *data(800, 7)), features=list(NAMES), order="t")
     later = frame(spark, *data(800, 8, shift=4.0))
@@ -101,7 +101,7 @@ def test_model_follows_drift_and_round_trips(spark, tmp_path):
 def test_classes_and_errors(spark):
     x, y = data(600, 10)
     df = frame(spark, x, y).withColumn("y", F.when(F.col("y") > 0, "up").otherwise("down"))
-    m = IncrementalBooster(objective="binary", n_estimators_per_batch=8, num_leaves=6, n_bins=16).fit(df, features=list(NAMES), order="t")
+    m = IncrementalBooster(task="classification", n_estimators_per_batch=8, num_leaves=6, n_bins=16).fit(df, features=list(NAMES), order="t")
     assert m.score(df) > 0.85 and m.classes_ == ["down", "up"]
     with pytest.raises(ValueError):
         m.partial_fit(df.withColumn("y", F.lit("flat")), features=list(NAMES), order="t")
@@ -109,8 +109,11 @@ def test_classes_and_errors(spark):
         IncrementalBooster().predict(df)
     with pytest.raises(ValueError):
         IncrementalBooster(num_boost_round=3)
+    for wrong in ({"task": "ranking"}, {"n_estimators_per_batch": 200, "max_total_trees": 100}, {"drift_threshold": 0.0}, {"task": "classification", "objective": "regression"}, {"validation_fraction": 1.0}, {"drift_fraction": 1.0}, {"objective": "binary"}, {"scoring_metric": "nonsense"}):
+        with pytest.raises(ValueError):
+            IncrementalBooster(**wrong).fit(df, features=list(NAMES))
     with pytest.raises(NotImplementedError):
-        IncrementalBooster(objective="rank").fit(df)
+        IncrementalBooster(task="classification").fit(df.withColumn("y", F.col("t") % 3), features=list(NAMES))
 
 
 def test_streams(spark, tmp_path):

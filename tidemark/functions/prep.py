@@ -31,18 +31,18 @@ def feature_names(df: DataFrame, features: list[str] | None = None, expected: li
 
 
 def clean(df: DataFrame, features: list[str], keep: list[str] = []) -> DataFrame:
-    return df.select(*keep, *[finite(F.col(f)).alias(f) for f in features])
+    return df.select(*[F.col(f"`{k}`") for k in keep], *[finite(F.col(f"`{f}`")).alias(f) for f in features])
 
 
 def melt(df: DataFrame, features: list[str]) -> DataFrame:
     """(feature, value) with missing values as null."""
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), finite(F.col(f)).alias("value")) for f in features])
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), finite(F.col(f"`{f}`")).alias("value")) for f in features])
     return df.select(F.explode(cells).alias("c")).select("c.feature", "c.value")
 
 
 def subsample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """``n`` rows (all, if fewer), chosen by a hash of the key: the same rows at each run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(f"`{key}`"))), F.col(f"`{key}`")).limit(n)
 
 
 def align_all(frames: list[DataFrame], weight: str = "w") -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 import warnings
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import metrics as M
 from ..functions.prep import finite
@@ -16,6 +16,10 @@ from ..functions.prep import finite
 NODE_SCHEMA = "tree_id int, node_id int, is_leaf boolean, feature string, threshold double, left int, right int, gain double, value double, missing_left boolean"
 
 
+#: Nodes up to which an ensemble is evaluated as columns, and trees of one leave-one-out aggregate.
+JVM_NODES, LOO_COLUMNS = 512, 64
+
+
 class DriftWarning(UserWarning):
     """Warnings of this library."""
 
@@ -78,8 +82,43 @@ class Ensemble:
         return out
 
 
+def ensemble_of(model) -> Ensemble:
+    """The Ensemble itself, that of a table of nodes, or of a fitted model (``ensemble_``); checked to be a sum of trees."""
+    if isinstance(model, DataFrame):
+        names = [r["feature"] for r in model.where(~F.col("is_leaf")).groupBy("feature").agg(F.min(F.struct("tree_id", "node_id")).alias("at")).orderBy("at").collect()]
+        model = Ensemble.from_frame(model, names)
+    found = model if isinstance(model, Ensemble) else getattr(model, "ensemble_", None)
+    if not isinstance(found, Ensemble):
+        raise TypeError("an Ensemble, a table of nodes or a fitted model is needed")
+    if found.objective in ("multiclass", "multiclassova"):
+        raise NotImplementedError("one output a row only")
+    for t, tree in enumerate(found.trees):
+        inner = [n for n in tree if not n[0]]
+        below = sorted(c for n in inner for c in n[3:5])
+        if below != list(range(1, len(tree))) or any(n[1] not in found.features for n in inner):
+            raise ValueError(f"tree {t} is not one tree over the ensemble's features")
+    return found
+
+
+def tree_column(tree: tuple, values: dict[str, Column] | None = None, node: int = 0) -> Column:
+    """A tree as a column: nested conditions, missing values as the node says."""
+    leaf, feature, threshold, left, right, _, value, missing_left = tree[node]
+    if leaf:
+        return F.lit(float(value))
+    x = finite(F.col(f"`{feature}`")) if values is None else values[feature]
+    goes_left = F.coalesce(x <= F.lit(float(threshold)), F.lit(bool(missing_left)))
+    return F.when(goes_left, tree_column(tree, values, left)).otherwise(tree_column(tree, values, right))
+
+
 def with_raw(df: DataFrame, ensemble: Ensemble, out: str = "raw", per_tree: str | None = None) -> DataFrame:
-    """``df`` with the raw score, or with the array of all trees' outputs; the ensemble is broadcast (its size is set by parameters)."""
+    """``df`` with the raw score, or with the array of all trees' outputs.
+
+    A small ensemble is columns in the JVM; one of more than JVM_NODES nodes is broadcast to Arrow batches (its size
+    is set by parameters, not by the data).
+    """
+    if sum(map(len, ensemble.trees)) <= JVM_NODES:
+        trees = [tree_column(t) for t in ensemble.trees]
+        return df.withColumn(per_tree, F.array(*trees) if trees else F.array().cast("array<double>")) if per_tree else df.withColumn(out, sum(trees, F.lit(0.0)))
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast((ensemble.features, ensemble.trees))
     x = F.array(*[F.coalesce(finite(F.col(f"`{f}`")), F.lit(float("nan"))) for f in ensemble.features])
@@ -95,17 +134,28 @@ def with_raw(df: DataFrame, ensemble: Ensemble, out: str = "raw", per_tree: str
     return df.withColumn(per_tree, each(x)) if per_tree else df.withColumn(out, score(x))
 
 
-def loo_scores(outputs: DataFrame, metric: str, y: str = "y", sigmoid: float = 1.0) -> DataFrame:
+def loo_scores(outputs: DataFrame, metric: str, y: str = "y", sigmoid: float = 1.0, objective: str = "regression", n_trees: int | None = None) -> DataFrame:
     """(tree_id, score): how much worse the metric gets without the tree; positive is helpful.
 
-    outputs: rows with ``y`` and array ``out`` of the trees' outputs. One pass with map-side combine; nothing
-    is kept per row and tree but for auc, whose rows are combined by score.
+    outputs: rows with ``y`` and array ``out`` of the trees' outputs. For a metric that is a mean over rows it is one
+    aggregate with a column a tree, LOO_COLUMNS of them at a time; for auc rows are combined by tree and score.
     """
-    full = outputs.withColumn("raw", F.aggregate("out", F.lit(0.0), lambda a, v: a + v))
-    base = M.evaluate(full, metric, y, "raw", [], sigmoid).first()["value"]
-    each = full.select(F.col(y).alias("y"), "raw", F.posexplode("out").alias("tree_id", "o")).select("tree_id", "y", (F.col("raw") - F.col("o")).alias("raw"))
-    sign = -1.0 if metric == "auc" else 1.0
-    return M.evaluate(each, metric, "y", "raw", ["tree_id"], sigmoid).select("tree_id", (F.lit(sign) * (F.col("value") - F.lit(base))).alias("score"))
+    spark = outputs.sparkSession
+    if n_trees is None:
+        n_trees = outputs.select(F.max(F.size("out"))).first()[0] or 0
+    full = outputs.select(F.col(y).cast("double").alias("y"), "out", F.aggregate("out", F.lit(0.0), lambda a, v: a + v).alias("raw"))
+    if metric == "auc":
+        each = full.select("y", F.posexplode(F.concat(F.array(F.lit(0.0)), "out")).alias("t", "o"), "raw").select("t", "y", (F.col("raw") - F.col("o")).alias("raw"))
+        got = {r["t"]: r["value"] for r in M.evaluate(each, metric, "y", "raw", ["t"]).collect()}
+        return spark.createDataFrame([(t, got[0] - got[t + 1] if got.get(0) is not None else None) for t in range(n_trees)], "tree_id int, score double")
+    root = math.sqrt if metric == "rmse" else float
+    loss = lambda raw: F.avg(M.row_loss(metric, F.col("y"), raw, objective, sigmoid))
+    values: list[float | None] = []
+    for a in range(0, max(1, n_trees), LOO_COLUMNS):
+        some = range(a, min(n_trees, a + LOO_COLUMNS))
+        values += full.agg(*([loss(F.col("raw")).alias("b")] if not a else []), *[loss(F.col("raw") - F.get("out", F.lit(t))).alias(f"t{t}") for t in some]).first()
+    base, *without = [None if v is None else root(v) for v in values]
+    return spark.createDataFrame([(t, v - base if v is not None else None) for t, v in enumerate(without)], "tree_id int, score double")
 
 
 def retire_nodes(nodes: DataFrame, removed: DataFrame) -> DataFrame:
@@ -118,57 +168,52 @@ def retire_nodes(nodes: DataFrame, removed: DataFrame) -> DataFrame:
 
 @dataclass
 class TreeManager:
-    """Scores the trees of an ensemble on validation rows and selects trees to retire."""
+    """Scores the trees of an ensemble on validation rows and selects trees to retire.
+
+    ``ensemble`` is an Ensemble, a table of nodes (its features in order of appearance, objective regression), or
+    anything fitted that has one as ``ensemble_``.
+    """
 
-    ensemble: Ensemble | None = None
+    ensemble: object | None = None
     max_retire_fraction: float = 0.5
     scores: list[float] | None = None
-    metric: str | None = None
-    _rows: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
+    metric: object | None = None
+    baseline: float | None = None
 
     def __post_init__(self) -> None:
         if not 0 <= self.max_retire_fraction <= 1:
             raise ValueError("max_retire_fraction must lie in [0, 1]")
+        self.ensemble = None if self.ensemble is None else ensemble_of(self.ensemble)
+        self._rows = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_rows": None}
 
     def _scored(self) -> list[float]:
         if self.scores is None:
             raise RuntimeError("call score_trees first")
         return self.scores
 
-    def score_trees(self, df: DataFrame, y: str = "y", metric=None, ensemble: Ensemble | None = None) -> list[float]:
-        """Leave-one-out contribution of each tree; a callable metric f(y, prediction) is a loss."""
-        model = ensemble or self.ensemble
+    def score_trees(self, rows, y: str = "y", metric=None, ensemble=None) -> list[float]:
+        """Leave-one-out contribution of each tree; a callable metric f(y, prediction) is a loss.
+
+        rows: a DataFrame with the features and ``y``, or rows of ``operators.rows``.
+        """
+        from .rows import rows_of
+
+        model = self.ensemble if ensemble is None else ensemble_of(ensemble)
         if model is None:
             raise TypeError("an Ensemble is needed")
-        self.ensemble = model
-        if not len(model):
-            self.scores = []
-            return []
-        held = with_raw(df, model, per_tree="out").select(F.col(y).cast("double").alias("y"), "out")
-        if callable(metric):
-            return self._score_by(held, metric)
-        self.metric = M.resolve(metric, model.objective)
-        if self.metric in ("auc", "logloss"):
-            r = held.agg(F.min("y"), F.max("y"), F.countDistinct("y")).first()
-            if r[0] is not None and (r[0] < 0 or r[1] > 1):
+        metric = M.resolve(metric, model.objective)
+        held = rows_of(rows, list(model.features), y) if isinstance(rows, DataFrame) else rows
+        if metric in ("auc", "logloss"):
+            low, high = held.label_range()
+            if low is not None and (low < 0 or high > 1):
                 raise ValueError("labels must lie in [0, 1]")
-            if self.metric == "auc" and r[2] < 2:
+            if metric == "auc" and low == high:
                 raise ValueError("auc needs both classes")
-        got = {r["tree_id"]: r["score"] for r in loo_scores(held, self.metric, "y", model.sigmoid).collect()}
-        self.scores = [got[t] for t in range(len(model))]
-        self._held = held
-        return self.scores
-
-    def _score_by(self, held: DataFrame, metric) -> list[float]:
-        sigmoid, objective = self.ensemble.sigmoid, self.ensemble.objective
-        full = held.withColumn("raw", F.aggregate("out", F.lit(0.0), lambda a, v: a + v))
-        each = full.select("y", F.posexplode(F.concat(F.array(F.lit(0.0)), "out")).alias("t", "o"), "raw").select("t", "y", M.transform(objective, F.col("raw") - F.col("o"), sigmoid).alias("p"))
-
-        def one(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"t": rows["t"].iloc[:1], "v": [float(metric(rows["y"].to_numpy(), rows["p"].to_numpy()))]})
-
-        got = {r["t"]: r["v"] for r in each.groupBy("t").applyInPandas(one, "t int, v double").collect()}
-        self.scores, self.metric, self._held = [got[t + 1] - got[0] for t in range(len(self.ensemble))], "callable", held
+        self.ensemble, self.metric, self._rows = model, metric, held
+        self.baseline, self.scores = held.leave_one_out(model, metric)
         return self.scores
 
     def ranking(self) -> list[int]:
@@ -186,44 +231,28 @@ class TreeManager:
     def select_retirement(self, threshold: float = 0.0, max_fraction: float | None = None, max_count: int | None = None, greedy: bool = True, min_z: float = 0.0) -> list[int]:
         """Trees below the threshold; greedily, a tree goes only if its removal helps on top of those removed before.
 
-        Each greedy step is one aggregate over the validation rows; with min_z the paired row losses must improve
-        by min_z standard errors.
+        With min_z the paired row losses must improve by min_z standard errors; auc and callables have none, and must
+        strictly improve.
         """
         candidates = self.identify_retiring(threshold)
         share = self.max_retire_fraction if max_fraction is None else max_fraction
         cap = math.floor(share * len(self._scored()))
-        cap = cap if max_count is None else min(cap, max_count)
-        if not greedy or not candidates:
-            return candidates[: max(0, cap)]
-        metric, sigmoid = self.metric, self.ensemble.sigmoid
-        raw = F.aggregate("out", F.lit(0.0), lambda a, v: a + v)
-        held = self._held.select("y", raw.alias("raw"), *[F.element_at("out", c + 1).alias(f"t{c}") for c in candidates]).persist()
-        try:
-            taken: list[int] = []
-            for c in candidates:
+        cap = max(0, cap if max_count is None else min(cap, int(max_count)))
+        if not greedy or not candidates or not cap:
+            return candidates[:cap]
+        if self._rows is None:
+            raise RuntimeError("the scored rows are gone; call score_trees first")
+        taken: list[int] = []
+        for c, better in self._rows.removals(self.ensemble, candidates, self.metric, min_z):
+            if better:
+                taken.append(c)
                 if len(taken) >= cap:
                     break
-                now = F.col("raw") - sum((F.col(f"t{t}") for t in taken), F.lit(0.0))
-                loss = M.row_loss(metric, F.col("y"), now, sigmoid) if metric != "callable" else None
-                if loss is not None:
-                    diff = M.row_loss(metric, F.col("y"), now - F.col(f"t{c}"), sigmoid) - loss
-                    r = held.agg(*M.z_gate(diff)).first()
-                    bar = -min_z * (r["sd"] or 0.0) / math.sqrt(r["n"]) if min_z > 0 and r["n"] > 1 else 0.0
-                    if r["mean"] is not None and r["mean"] < 0 and r["mean"] < bar + (0.0 if min_z > 0 else 1e-300):
-                        taken.append(c)
-                elif metric == "auc":
-                    a, b = (M.auc(held.select("y", s.alias("s")), "y", "s").first()["auc"] for s in (now, now - F.col(f"t{c}")))
-                    if b > a:
-                        taken.append(c)
-                else:
-                    taken.append(c)
-            return taken
-        finally:
-            held.unpersist()
+        return taken
 
     def retire_trees(self, indices: list[int], ensemble: Ensemble | None = None) -> Ensemble:
         """A new ensemble without the trees, at most max_retire_fraction of them, in the order given."""
-        model = ensemble or self.ensemble
+        model = self.ensemble if ensemble is None else ensemble_of(ensemble)
         ids = list(indices)
         if len(set(ids)) != len(ids) or any(not 0 <= i < len(model) for i in ids):
             raise ValueError("tree indices must be distinct and in range")

@@ -87,15 +87,21 @@ def ref_moments(spark, sf_dir):
     return rounded(spark.createDataFrame([(f, v["count"], v["min"], v["max"], v["mean"], v["std"]) for f, v in s.items()], "feature string, count long, min double, max double, mean double, std double"))
 
 
+def _digest(spark, sf_dir) -> DataFrame:
+    """The digest of the reference by narrowing brackets, whatever its size."""
+    ref = split(spark, sf_dir)[0]
+    q = D.quantiles(ref, FEATURES, {f: s["count"] for f, s in D.moments(ref, FEATURES).items()}, BINS, limit=20_000)
+    return spark.createDataFrame([(f, k, x) for f in FEATURES for k, x in enumerate(q[f])], "feature string, k int, q double")
+
+
 @query(f"WITH {_DIGEST} SELECT feature, k, round(q, 6) AS q FROM qt")
 def ref_quantiles(spark, sf_dir):
-    return rounded(D.quantile_digest(melt(split(spark, sf_dir)[0], FEATURES), BINS))
+    return rounded(_digest(spark, sf_dir))
 
 
 @query(f"WITH {_DIGEST} SELECT feature, count(*) AS edges, round(min(edge), 6) AS first, round(max(edge), 6) AS last FROM ed GROUP BY 1")
 def ref_edges(spark, sf_dir):
-    q = D.quantile_digest(melt(split(spark, sf_dir)[0], FEATURES), BINS)
-    return rounded(q.groupBy("feature").agg(F.countDistinct("q").alias("edges"), F.min("q").alias("first"), F.max("q").alias("last")))
+    return rounded(_digest(spark, sf_dir).groupBy("feature").agg(F.countDistinct("q").alias("edges"), F.min("q").alias("first"), F.max("q").alias("last")))
 
 
 def _bins(spark, pairs) -> DataFrame:

@@ -24,6 +24,14 @@ class DriftWarning(UserWarning):
     """Warnings of this library."""
 
 
+def total(outputs: np.ndarray) -> np.ndarray:
+    """Sums over the trees, one after the other as tables add them, so that ties of scores are the same."""
+    out = np.zeros(len(outputs))
+    for t in range(outputs.shape[1]):
+        out += outputs[:, t]
+    return out
+
+
 @dataclass(frozen=True)
 class Ensemble:
     """Ordered trees; a tree is a list of node tuples (is_leaf, feature, threshold, left, right, gain, value, missing_left).
@@ -68,7 +76,7 @@ class Ensemble:
         return out
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.outputs(x).sum(axis=1) if self.trees else np.zeros(len(x))
+        return total(self.outputs(x))
 
     def keep(self, ids: list[int]) -> "Ensemble":
         return replace(self, trees=tuple(self.trees[i] for i in ids))

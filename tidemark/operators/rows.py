@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions import metrics as M
 from ..functions.prep import finite
 from ..functions.tables import written
-from .ensemble import Ensemble, loo_scores, with_raw
+from .ensemble import Ensemble, loo_scores, total, with_raw
 from .trainer import BoostParams, boost, boost_frame, frame_bins, _bins
 
 #: Cells (rows x (features + 2)) up to which a batch is arrays on the driver: 128 MB.
@@ -70,7 +70,7 @@ class LocalRows:
         if not len(model):
             return (M.metric_of(metric, self.y, np.zeros(self.n), model.objective, model.sigmoid) if self.n else None), []
         out = model.outputs(self.x)
-        full = out.sum(axis=1)
+        full = total(out)
         value = lambda raw: M.metric_of(metric, self.y, raw, model.objective, model.sigmoid)
         base, sign = value(full), -1.0 if metric == "auc" else 1.0
         return base, [sign * (value(full - out[:, t]) - base) for t in range(len(model))]
@@ -165,7 +165,7 @@ class TableRows:
     def loss(self, model: Ensemble, metric) -> float:
         if callable(metric):
             y, out = self._sampled(model)
-            return M.metric_of(metric, y, out.sum(axis=1), model.objective, model.sigmoid)
+            return M.metric_of(metric, y, total(out), model.objective, model.sigmoid)
         v = M.evaluate(with_raw(self._named(), model, "_raw"), metric, "_y", "_raw", [], model.sigmoid, model.objective).first()["value"]
         return math.nan if v is None else 1 - v if metric == "auc" else v
 
@@ -173,8 +173,8 @@ class TableRows:
         if callable(metric):
             y, out = self._sampled(model)
             value = lambda raw: M.metric_of(metric, y, raw, model.objective, model.sigmoid)
-            base = value(out.sum(axis=1))
-            return base, [value(out.sum(axis=1) - out[:, t]) - base for t in range(len(model))]
+            base = value(total(out))
+            return base, [value(total(out) - out[:, t]) - base for t in range(len(model))]
         loss = self.loss(model, metric)
         held = with_raw(self._named(), model, per_tree="out").select(F.col("_y").alias("y"), "out")
         scores = {r["tree_id"]: r["score"] for r in loo_scores(held, metric, "y", model.sigmoid, model.objective, len(model)).collect()}
@@ -192,7 +192,7 @@ class TableRows:
         """One aggregate a step, over a written table of the candidates' outputs."""
         if callable(metric):
             y, out = self._sampled(model)
-            now = out.sum(axis=1)
+            now = total(out)
             was = M.metric_of(metric, y, now, model.objective, model.sigmoid)
             for c in candidates:
                 got = M.metric_of(metric, y, now - out[:, c], model.objective, model.sigmoid)

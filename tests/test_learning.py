@@ -8,7 +8,6 @@ from tidemark.operators.ensemble import DriftWarning, Ensemble, TreeManager
 from tidemark.operators.model import IncrementalBooster
 from tidemark.operators.trainer import BoostParams, boost
 from tidemark.sources.synthetic import regime_arrays
-from tidemark.streaming.foreach_batch import learn, track
 
 
 def data(n, seed, shift=0.0):
@@ -71,8 +70,8 @@ def test_clusters_stability_and_tau(spark):
     d = df.toPandas()
     assert np.allclose(corr[:3, :3], d.iloc[:, :3].corr("spearman"), atol=1e-9) and corr[0, 3] == 0
     assert I.cluster(corr, list(NAMES)) == {0: ["f0", "f1"], 1: ["f2"], 2: ["f3"]}
-    assert I.stability(np.array([[3.0, 2, 1], [3, 2, 1]])) == ([1.0, 1.0, 1.0], 1.0)
-    assert I.stability(np.array([[3.0, 2, 1], [1, 2, 3]])) == ([-1.0, -1.0, -1.0], -1.0)
+    assert I.stability(spark, np.array([[3.0, 2, 1], [3, 2, 1]])) == ([1.0, 1.0, 1.0], 1.0)
+    assert I.stability(spark, np.array([[3.0, 2, 1], [1, 2, 3]])) == ([-1.0, -1.0, -1.0], -1.0)
     mi = I.ClusteredImportance("mutual_info").correlation(df.select("f0", "f2", (F.col("f0") ** 2).alias("q")))
     assert mi[0, 2] > 0.8 > 0.3 > mi[0, 1]
 
@@ -116,20 +115,6 @@ def test_classes_and_errors(spark):
         IncrementalBooster(task="classification").fit(df.withColumn("y", F.col("t") % 3), features=list(NAMES))
 
 
-def test_streams(spark, tmp_path):
-    from tidemark.operators.drift import DistributionTracker
-
-    frame(spark, *data(300, 11)).select(*NAMES, "y").coalesce(1).write.parquet(str(tmp_path / "in"))
-    frame(spark, *data(300, 12, 3.0)).select(*NAMES, "y").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = lambda: spark.readStream.schema("f0 double, f1 double, f2 double, f3 double, y double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    seen, t = [], DistributionTracker(n_bins=8)
-    track(stream().select(*NAMES), t, str(tmp_path / "s"), lambda n, r: seen.append(r)).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination(120)
-    assert len(seen) == 2 and "f0" in seen[1].drifted
-    m = IncrementalBooster(n_estimators_per_batch=3, num_leaves=4, n_bins=8)
-    learn(stream(), m, str(tmp_path / "m"), features=list(NAMES)).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination(240)
-    assert len(m.history_) == 2
-
-
 def test_generator():
     a, b = regime_arrays(500, seed=3), regime_arrays(500, seed=3, concept_flip=0.5)
     assert np.array_equal(a[0], b[0]) and np.array_equal(a[1][:250], b[1][:250]) and not np.array_equal(a[1][250:], b[1][250:])

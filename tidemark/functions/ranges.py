@@ -32,3 +32,21 @@ def running_before(counts: DataFrame, by: list[str], value: str, weight: str, ou
     inner = Window.partitionBy("_g", "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     joined = celled.join(F.broadcast(starts), (F.col("_g") == F.col("_h")) & (F.col("_cell") == F.col("_c")))
     return joined.withColumn(out, F.col("_start") + F.coalesce(F.sum(weight).over(inner), F.lit(0))).drop("_g", "_h", "_c", "_cell", "_start")
+
+
+def average_ranks(df: DataFrame, value: str, by: list[str], out: str = "rank") -> DataFrame:
+    """Add ranks from 1 within the groups ``by``, with the mean rank for ties. Values must not be null.
+
+    Rows are dealt over CELLS ranges of a group's values and ranked there, on top of the number of rows in the ranges
+    before; equal values fall in one range.
+    """
+    keyed = df.withColumn("_g", F.struct(*by) if by else F.lit(0))
+    levels = [i / CELLS for i in range(1, CELLS)]
+    cuts = keyed.groupBy("_g").agg(F.percentile_approx(F.col(value).cast("double"), levels, 2000).alias("_cuts")).withColumnRenamed("_g", "_h")
+    celled = keyed.join(F.broadcast(cuts), F.col("_g") == F.col("_h")).withColumn("_cell", _cell(value, "_cuts")).drop("_cuts", "_h")
+    before = Window.partitionBy("_g").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = celled.groupBy("_g", "_cell").agg(F.count(F.lit(1)).alias("_s")).select(F.col("_g").alias("_h"), F.col("_cell").alias("_c"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
+    joined = celled.join(F.broadcast(starts), (F.col("_g") == F.col("_h")) & (F.col("_cell") == F.col("_c")))
+    ties = F.count(F.lit(1)).over(Window.partitionBy("_g", "_cell", value))
+    rank = F.col("_start") + F.rank().over(Window.partitionBy("_g", "_cell").orderBy(value)) + (ties - 1) / 2.0
+    return joined.withColumn(out, rank).drop("_g", "_h", "_c", "_cell", "_start")

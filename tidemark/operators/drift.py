@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -423,16 +423,17 @@ class DistributionTracker:
         return self._entry(self.reference, feature)["edges"], self._entry(self.running, feature)["histogram"]
 
     def state(self) -> dict:
-        return {"params": self.params, "features": self.features, "reference": self.reference, "running": self.running, "n_batches_seen": self.n_batches_seen}
+        return {"params": self.params, "features": self.features, "reference": self.reference, "running": self.running, "n_batches_seen": self.n_batches_seen, "last_report": asdict(self.last_report) if self.last_report else None}
 
     @classmethod
     def from_state(cls, state: dict) -> "DistributionTracker":
         out = cls(**state["params"])
         out.features, out.reference, out.running, out.n_batches_seen = state["features"], state["reference"], state["running"], state["n_batches_seen"]
+        out.last_report = DriftReport(**state["last_report"]) if state.get("last_report") else None
         return out
 
     def save(self, spark: SparkSession, path: str) -> None:
-        spark.createDataFrame([(json.dumps(self.state()),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        spark.createDataFrame([(json.dumps(self.state(), default=lambda v: v.item()),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "DistributionTracker":

@@ -9,7 +9,7 @@ from ..functions import metrics as M
 from ..functions.prep import clean, finite, melt, subsample
 from ..operators import drift as D, ensemble as E, importance as I
 from ..operators.model import IncrementalBooster
-from ..sources.synthetic import regime_data
+from ..operators.rows import rows_of
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 BINS = 16
@@ -162,9 +162,9 @@ def mean_shift_std_ratio(spark, sf_dir):
 
 @query("SELECT CAST(n AS BIGINT) AS n, round(CASE WHEN n > 0 AND n < 500 THEN greatest(0.01, least(0.01 * 500 / n, 0.1)) ELSE 0.01 END, 9) AS threshold FROM (SELECT count(*) AS n FROM lineitem GROUP BY date_trunc('month', l_shipdate))")
 def effective_threshold(spark, sf_dir):
-    n = table(spark, sf_dir, "lineitem").groupBy(F.date_trunc("month", "l_shipdate")).agg(F.count(F.lit(1)).alias("n")).select("n")
-    small = (F.col("n") > 0) & (F.col("n") < 500)
-    return n.select("n", F.round(F.when(small, F.greatest(F.lit(0.01), F.least(F.lit(0.01) * 500 / F.col("n"), F.lit(0.1)))).otherwise(0.01), 9).alias("threshold"))
+    months = table(spark, sf_dir, "lineitem").groupBy(F.date_trunc("month", "l_shipdate")).agg(F.count(F.lit(1)).alias("n")).select("n").collect()  # one row a month
+    threshold = D.DistributionTracker().effective_threshold
+    return rounded(spark.createDataFrame([(r["n"], float(threshold(r["n"]))) for r in months], "n long, threshold double"), 9)
 
 
 @query("""WITH d AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, value FROM events WHERE isfinite(value)), f AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM d WHERE day = (SELECT min(day) FROM d))
@@ -172,19 +172,21 @@ def effective_threshold(spark, sf_dir):
 def events_daily_drift(spark, sf_dir):
     d = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), finite(F.col("value")).alias("value")).where("value IS NOT NULL")
     by = d.groupBy("day").agg(F.count(F.lit(1)).alias("rows"), F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    first = by.agg(F.min_by(F.struct("m", "s"), "day").alias("r"))  # one row
-    return rounded(by.join(F.broadcast(first)).select("day", "rows", ((F.col("m") - F.col("r.m")) / F.col("r.s")).alias("mean_shift"), (F.col("s") / F.col("r.s")).alias("std_ratio")))
+    first = by.agg(F.min_by("m", "day").alias("m"), F.min_by("s", "day").alias("s")).first()
+    return rounded(by.select("day", "rows", ((F.col("m") - F.lit(first["m"])) / F.lit(first["s"])).alias("mean_shift"), (F.col("s") / F.lit(first["s"])).alias("std_ratio")))
 
 
-@query("SELECT month, rows, CAST(round_even(rows * 0.2, 0) AS BIGINT) AS held_out, rows - CAST(round_even(rows * 0.2, 0) AS BIGINT) AS trained FROM (SELECT date_trunc('month', l_shipdate) AS month, count(*) AS rows FROM lineitem GROUP BY 1)")
+@query("WITH r AS (SELECT l_shipdate, row_number() OVER (ORDER BY l_shipdate) AS i, count(*) OVER () AS n FROM lineitem) SELECT count(*) FILTER (i > n - h) AS held_out, count(*) FILTER (i <= n - h) AS trained, max(CASE WHEN i <= n - h THEN l_shipdate END) AS last_trained, min(CASE WHEN i > n - h THEN l_shipdate END) AS first_held_out FROM (SELECT *, CAST(round_even(n * 0.2, 0) AS BIGINT) AS h FROM r)")
 def walkforward_split(spark, sf_dir):
-    n = table(spark, sf_dir, "lineitem").groupBy(F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("month")).agg(F.count(F.lit(1)).alias("rows"))
-    held = F.bround(F.col("rows") * F.lit(0.2)).cast("long")
-    return n.select("month", "rows", held.alias("held_out"), (F.col("rows") - held).alias("trained"))
+    rows = rows_of(table(spark, sf_dir, "lineitem"), FEATURES, "l_extendedprice", None, "l_shipdate", limit=0)
+    head, tail = rows.split(round(rows.n * 0.2))
+    ends = [x.df.agg(f("o")).first()[0] for x, f in ((head, F.max), (tail, F.min))]
+    return spark.createDataFrame([(tail.n, head.n, *ends)], "held_out long, trained long, last_trained timestamp_ntz, first_held_out timestamp_ntz")
 
 
-@query()
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('1|' || o_orderkey), o_orderkey LIMIT 1000")
 def hash_subsample(spark, sf_dir):
+    """A sampling operator: exactly 1000 rows, by a hash of the key."""
     return subsample(table(spark, sf_dir, "orders"), 1000, "o_orderkey", 1).select("o_orderkey", "o_totalprice")
 
 
@@ -211,6 +213,12 @@ def metric_logloss(spark, sf_dir):
     return rounded(M.evaluate(scored(spark, sf_dir), "logloss", "c", "s", ["l_linestatus"]))
 
 
+@query(f"SELECT l_linestatus, round(sqrt(avg(pow(c - 1 / (1 + exp(-s)), 2))), 6) AS rmse, round(avg(abs(c - 1 / (1 + exp(-s)))), 6) AS mae FROM {_SCORED} GROUP BY 1")
+def metric_rmse_binary(spark, sf_dir):
+    a, b = (M.evaluate(scored(spark, sf_dir), m, "c", "s", ["l_linestatus"], 1.0, "binary").withColumnRenamed("value", m) for m in ("rmse", "mae"))
+    return rounded(a.join(b, "l_linestatus"))
+
+
 _AUC = "WITH r AS (SELECT {g} c, {s} AS s, rank() OVER ({p} ORDER BY {s}) + (count(*) OVER (PARTITION BY {g} {s}) - 1) / 2.0 AS k FROM {t}) SELECT {g} round((sum(k) FILTER (c = 1) - count(*) FILTER (c = 1) * (count(*) FILTER (c = 1) + 1) / 2.0) / (count(*) FILTER (c = 1) * CAST(count(*) FILTER (c = 0) AS DOUBLE)), 6) AS value FROM r {e}"
 
 
@@ -237,19 +245,6 @@ def r2_score(spark, sf_dir):
     return scored(spark, sf_dir).agg(F.round(M.r2(F.col("y"), F.col("raw")), 6).alias("r2"))
 
 
-@query(f"SELECT round(avg(CAST((1 / (1 + exp(-(s - 0.5))) > 0.5) = (c = 1) AS INTEGER)), 6) AS accuracy FROM {_SCORED}")
-def accuracy_score(spark, sf_dir):
-    hit = (M.transform("binary", F.col("s") - 0.5) > 0.5) == (F.col("c") == 1)
-    return scored(spark, sf_dir).agg(F.round(F.avg(hit.cast("int")), 6).alias("accuracy"))
-
-
-@query(f"SELECT round(avg(a), 6) AS ours, round(avg(b), 6) AS naive, avg(a - b) < 0 AND avg(a - b) < -1.645 * stddev_samp(a - b) / sqrt(count(*)) AS take_ours FROM (SELECT (y - 0.5) * (y - 0.5) AS a, (y - raw) * (y - raw) AS b FROM {_SCORED})")
-def naive_vs_ours_gate(spark, sf_dir):
-    d = scored(spark, sf_dir).select(M.row_loss("rmse", F.col("y"), F.lit(0.5)).alias("a"), M.row_loss("rmse", F.col("y"), F.col("raw")).alias("b"))
-    r = d.agg(F.avg("a").alias("ours"), F.avg("b").alias("naive"), *M.z_gate(F.col("a") - F.col("b")))
-    return rounded(r.select("ours", "naive", ((F.col("mean") < 0) & (F.col("mean") < -1.645 * F.col("sd") / F.sqrt("n"))).alias("take_ours")))
-
-
 # Ensembles: stumps (feature, threshold, value at or below, value above, gain); the target is l_discount * 10.
 STUMPS = [("l_quantity", 25.0, 0.45, 0.55, 9.0), ("l_extendedprice", 40000.0, 0.02, -0.03, 7.5), ("l_tax", 0.04, -0.05, 0.06, 4.0), ("l_quantity", 10.0, 0.08, -0.01, 2.5), ("l_discount", 0.05, -0.2, 0.2, 30.0), ("l_tax", 0.02, 0.07, 0.01, 1.25)]
 _TREES = ", ".join(f"({t}, CASE WHEN {f} <= {c} THEN {a} ELSE {b} END)" for t, (f, c, a, b, _) in enumerate(STUMPS))
@@ -258,9 +253,12 @@ _SUM = " + ".join(f"t{t}" for t in range(len(STUMPS)))
 _LOO = f"o AS ({_OUT}), b AS (SELECT sqrt(avg(pow(y - ({_SUM}), 2))) AS base FROM o), s AS (" + " UNION ALL ".join(f"SELECT {t} AS tree_id, sqrt(avg(pow(y - ({_SUM} - t{t}), 2))) - max(base) AS score FROM o, b" for t in range(len(STUMPS))) + ")"
 
 
-def stumps() -> E.Ensemble:
-    trees = tuple(((False, f, c, 1, 2, g, 0.0, False), (True, None, 0.0, 0, 0, 0.0, a, False), (True, None, 0.0, 0, 0, 0.0, b, False)) for f, c, a, b, g in STUMPS)
-    return E.Ensemble(tuple(FEATURES), trees)
+def stump(f: str, c: float, a: float, b: float, g: float) -> tuple:
+    return ((False, f, c, 1, 2, g, 0.0, False), (True, None, 0.0, 0, 0, 0.0, a, False), (True, None, 0.0, 0, 0, 0.0, b, False))
+
+
+def stumps(objective: str = "regression") -> E.Ensemble:
+    return E.Ensemble(tuple(FEATURES), tuple(stump(*x) for x in STUMPS), objective)
 
 
 def outputs(spark, sf_dir) -> DataFrame:
@@ -268,6 +266,22 @@ def outputs(spark, sf_dir) -> DataFrame:
     return E.with_raw(rows, stumps(), per_tree="out").select("l_orderkey", "l_linenumber", "y", "c", "out")
 
 
+@query("SELECT round(avg(CAST((l_quantity > 25) = (l_returnflag = 'R') AS INTEGER)), 6) AS accuracy, round(sum(l_tax * CAST((l_quantity > 25) = (l_returnflag = 'R') AS INTEGER)) / sum(l_tax), 6) AS weighted FROM lineitem")
+def accuracy_score(spark, sf_dir):
+    m = IncrementalBooster(task="classification")
+    m.classes_, m.features_ = ["N", "R"], FEATURES
+    m.ensemble_ = E.Ensemble(tuple(FEATURES), (stump("l_quantity", 25.0, -0.3, 0.4, 1.0),), "binary")
+    rows = table(spark, sf_dir, "lineitem").withColumn("flag", F.when(F.col("l_returnflag") == "R", "R").otherwise("N"))
+    return rounded(spark.createDataFrame([(m.score(rows, "flag"), m.score(rows, "flag", "l_tax"))], "accuracy double, weighted double"))
+
+
+@query(f"WITH o AS ({_OUT}) SELECT round(sqrt(avg(pow(y - t0 - t1, 2))), 6) AS ours, round(sqrt(avg(pow(y - t5, 2))), 6) AS naive, avg(pow(y - t0 - t1, 2) - pow(y - t5, 2)) < -1.645 * stddev_samp(pow(y - t0 - t1, 2) - pow(y - t5, 2)) / sqrt(count(*)) AS take_ours FROM o")
+def naive_vs_ours_gate(spark, sf_dir):
+    rows = rows_of(table(spark, sf_dir, "lineitem").withColumn("y", F.col("l_discount") * 10), FEATURES, limit=0)
+    keep_naive, ours, naive = IncrementalBooster()._naive_wins(rows, stumps().keep([0, 1]), stumps().keep([5]))
+    return rounded(spark.createDataFrame([(ours, naive, not keep_naive)], "ours double, naive double, take_ours boolean"))
+
+
 @query(f"WITH o AS ({_OUT}) SELECT l_orderkey, l_linenumber, round({_SUM}, 6) AS raw FROM o")
 def stump_raw_score(spark, sf_dir):
     return rounded(E.with_raw(table(spark, sf_dir, "lineitem"), stumps()).select("l_orderkey", "l_linenumber", "raw"))
@@ -282,7 +296,18 @@ def per_tree_output(spark, sf_dir):
 
 @query(f"WITH {_LOO} SELECT tree_id, round(score, 8) AS score FROM s")
 def loo_contributions(spark, sf_dir):
-    return rounded(E.loo_scores(outputs(spark, sf_dir), "rmse"), 8)
+    return rounded(E.loo_scores(outputs(spark, sf_dir), "rmse", n_trees=len(STUMPS)), 8)
+
+
+_P = lambda x: f"(1 / (1 + exp(-({x}))))"
+
+
+@query(f"WITH o AS ({_OUT}), b AS (SELECT sqrt(avg(pow(c - {_P(_SUM)}, 2))) AS base FROM o) " + " UNION ALL ".join(f"SELECT {t} AS tree_id, round(sqrt(avg(pow(c - {_P(f'{_SUM} - t{t}')}, 2))) - max(base), 8) AS score FROM o, b" for t in range(len(STUMPS))))
+def loo_rmse_binary(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("c", (F.col("l_returnflag") == "R").cast("double"))
+    m = E.TreeManager(stumps("binary"))
+    m.score_trees(rows_of(rows, FEATURES, "c", limit=0), metric="rmse")
+    return rounded(spark.createDataFrame([(t, x) for t, x in enumerate(m.scores)], "tree_id int, score double"), 8)
 
 
 _LOO_AUC = "WITH o AS (" + _OUT + "), l AS (SELECT c, -1 AS tree_id, round(" + _SUM + ", 9) AS s FROM o " + " ".join(f"UNION ALL SELECT c, {t}, round({_SUM} - t{t}, 9) FROM o" for t in range(len(STUMPS))) + "), r AS (SELECT c, tree_id, rank() OVER (PARTITION BY tree_id ORDER BY s) + (count(*) OVER (PARTITION BY tree_id, s) - 1) / 2.0 AS k FROM l), a AS (SELECT tree_id, (sum(k) FILTER (c = 1) - count(*) FILTER (c = 1) * (count(*) FILTER (c = 1) + 1) / 2.0) / (count(*) FILTER (c = 1) * CAST(count(*) FILTER (c = 0) AS DOUBLE)) AS auc FROM r GROUP BY 1) SELECT tree_id, round((SELECT auc FROM a WHERE tree_id = -1) - auc, 8) AS score FROM a WHERE tree_id >= 0"
@@ -300,7 +325,7 @@ def loo_auc(spark, sf_dir):
 def managed(spark, sf_dir) -> E.TreeManager:
     rows = table(spark, sf_dir, "lineitem").withColumn("y", F.col("l_discount") * 10)
     m = E.TreeManager(stumps())
-    m.score_trees(rows, "y")
+    m.score_trees(rows_of(rows, FEATURES, limit=0))
     return m
 
 
@@ -323,7 +348,23 @@ def lowest_scoring(spark, sf_dir):
     return _ids(spark, managed(spark, sf_dir).lowest_scoring(3, [1]))
 
 
-@query()
+def _greedy(z: float, cap: int) -> str:
+    """The trees below zero, lowest first, each tested on top of those taken before; one step of SQL a tree."""
+    steps, n = [], len(STUMPS)
+    columns = "y, " + ", ".join(f"t{t}" for t in range(n))
+    before = f"SELECT {columns}, {_SUM} AS f FROM o"
+    for k in range(1, n + 1):
+        tree = f"(SELECT tree_id FROM cand WHERE k = {k})"
+        taken = " + ".join([f"(SELECT CAST(ok AS INTEGER) FROM g{j})" for j in range(1, k)] or ["0"])
+        value = " ".join(f"WHEN {t} THEN t{t}" for t in range(n))
+        steps.append(f"r{k} AS (SELECT *, f - CASE {tree} {value} END AS trial FROM ({before}))")
+        steps.append(f"g{k} AS (SELECT {k} AS k, coalesce(avg(d) < 0 AND avg(d) < -{z} * stddev_samp(d) / sqrt(count(d)), false) AND {taken} < {cap} AS ok FROM (SELECT pow(y - trial, 2) - pow(y - f, 2) AS d FROM r{k}))")
+        before = f"SELECT {columns}, CASE WHEN (SELECT ok FROM g{k}) THEN trial ELSE f END AS f FROM r{k}"
+    picks = " UNION ALL ".join(f"SELECT k, ok FROM g{k}" for k in range(1, n + 1))
+    return f"WITH {_LOO}, cand AS (SELECT tree_id, row_number() OVER (ORDER BY score, tree_id) AS k FROM s WHERE score < 0), " + ", ".join(steps) + f" SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS place, tree_id FROM ({picks}) JOIN cand USING (k) WHERE ok"
+
+
+@query(_greedy(2.0, 3))
 def select_retirement_greedy(spark, sf_dir):
     return _ids(spark, managed(spark, sf_dir).select_retirement(min_z=2.0))
 
@@ -406,24 +447,21 @@ def _report(spark, sf_dir, **options) -> I.ImportanceReport:
 _SNAP = "WITH q AS (SELECT date_trunc('year', l_shipdate) AS t, l_returnflag || l_linestatus AS c, round(sum(l_extendedprice), 2) AS v FROM lineitem GROUP BY ALL), g AS (SELECT t, c, coalesce(v, 0) AS v FROM (SELECT DISTINCT t FROM q) CROSS JOIN (SELECT DISTINCT c FROM q) LEFT JOIN q USING (t, c)), p AS (SELECT a.t, a.c AS c1, b.c AS c2, sign(a.v - b.v) AS s FROM g a JOIN g b ON a.t = b.t AND a.c <> b.c), l AS (SELECT *, lead(s) OVER (PARTITION BY c1, c2 ORDER BY t) AS z FROM p)"
 
 
-def snapshots(spark, sf_dir):
-    q = table(spark, sf_dir, "lineitem").groupBy(F.date_trunc("year", "l_shipdate").alias("t"), F.concat("l_returnflag", "l_linestatus").alias("c")).agg(F.round(F.sum("l_extendedprice"), 2).alias("v")).collect()  # years times groups
-    ts, cs = sorted({r["t"] for r in q}), sorted({r["c"] for r in q})
-    m = np.zeros((len(ts), len(cs)))
-    for r in q:
-        m[ts.index(r["t"]), cs.index(r["c"])] = r["v"]
-    return m, cs
+def snapshots(spark, sf_dir) -> DataFrame:
+    """(t, c, v), with 0 where a group has no row in a year."""
+    q = table(spark, sf_dir, "lineitem").groupBy(F.date_trunc("year", "l_shipdate").alias("t"), F.concat("l_returnflag", "l_linestatus").alias("c")).agg(F.round(F.sum("l_extendedprice"), 2).alias("v"))
+    wide = q.groupBy("t").pivot("c").agg(F.first("v")).na.fill(0.0)  # years times groups
+    return wide.unpivot("t", [c for c in wide.columns if c != "t"], "c", "v")
 
 
 @query(f"{_SNAP} SELECT c1 AS cluster, round(avg(CASE WHEN s = z THEN 1.0 WHEN s * z < 0 THEN -1.0 ELSE 0.0 END), 6) AS stability FROM l WHERE z IS NOT NULL GROUP BY 1")
 def stability_per_cluster(spark, sf_dir):
-    m, cs = snapshots(spark, sf_dir)
-    return rounded(spark.createDataFrame(list(zip(cs, I.stability(m)[0])), "cluster string, stability double"))
+    return rounded(I.cluster_stability(snapshots(spark, sf_dir)).withColumnRenamed("c", "cluster"))
 
 
 @query(f"{_SNAP} SELECT round(avg(tau), 6) AS overall_stability FROM (SELECT t, sum(s * z) / sqrt(sum(abs(s)) * sum(abs(z))) AS tau FROM l WHERE z IS NOT NULL GROUP BY t HAVING sum(abs(s)) * sum(abs(z)) > 0)")
 def kendall_tau_b(spark, sf_dir):
-    return rounded(spark.createDataFrame([(I.stability(snapshots(spark, sf_dir)[0])[1],)], "overall_stability double"))
+    return rounded(I.overall_stability(snapshots(spark, sf_dir)))
 
 
 @query()
@@ -437,32 +475,52 @@ def mutual_info(spark, sf_dir):
     return spark.createDataFrame([(a, b, float(c[i, j])) for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES) if i < j], "f1 string, f2 string, rho double")
 
 
-@query()
+# Each year but the last as reference of the last one, by the digest, the statistic and the rule of _DIGEST.
+_YEARS = f"""WITH v AS ({" UNION ALL ".join(f"SELECT year(l_shipdate) AS y, '{f}' AS feature, {f} AS value FROM lineitem" for f in FEATURES)}),
+    last AS (SELECT max(y) AS y FROM v), bv AS (SELECT feature, value FROM v JOIN last USING (y)),
+    r AS (SELECT v.y, feature, value, row_number() OVER (PARTITION BY v.y, feature ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY v.y, feature) AS n FROM v, last WHERE v.y < last.y),
+    lv AS (SELECT DISTINCT y, feature, n, k, CAST(k AS DOUBLE) / {BINS}.0 * (n - 1) AS pos FROM r, range({BINS + 1}) t(k)),
+    ed AS (SELECT DISTINCT lv.y, lv.feature, lo.value + (pos - floor(pos)) * (hi.value - lo.value) AS edge
+           FROM lv JOIN r lo ON lo.y = lv.y AND lo.feature = lv.feature AND lo.i = CAST(floor(pos) AS BIGINT)
+                   JOIN r hi ON hi.y = lv.y AND hi.feature = lv.feature AND hi.i = least(CAST(floor(pos) AS BIGINT) + 1, lv.n - 1)),
+    rc AS (SELECT ed.y, feature, edge, count(*) FILTER (value < edge) AS below, count(*) FILTER (value <= edge) AS upto, count(*) AS n FROM ed JOIN r USING (y, feature) GROUP BY ALL),
+    bc AS (SELECT ed.y, feature, edge, count(*) FILTER (value < edge) AS below, count(*) FILTER (value <= edge) AS upto, count(*) AS n FROM ed JOIN bv USING (feature) GROUP BY ALL),
+    ks AS (SELECT rc.y, feature, max(greatest(abs(rc.below / rc.n - bc.below / bc.n), abs(rc.upto / rc.n - bc.upto / bc.n))) AS ks, max(rc.n) AS nr, max(bc.n) AS nb FROM rc JOIN bc USING (y, feature, edge) GROUP BY ALL),
+    kx AS (SELECT *, (sqrt(nr * nb / (nr + nb)) + 0.12 + 0.11 / sqrt(nr * nb / (nr + nb))) * ks AS x FROM ks),
+    kp AS (SELECT *, CASE WHEN x <= 0.1 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * j * j * x * x))))) END AS p,
+           CASE WHEN nb < 500 THEN greatest(0.01, least(0.01 * 500 / nb, 0.1)) ELSE 0.01 END AS bar FROM kx)"""
+
+
+@query(f"{_YEARS} SELECT CAST(y AS INTEGER) AS year, NOT avg(CAST(p < bar AS INTEGER)) > 0.3 AS compatible FROM kp GROUP BY 1")
 def compatible_batches(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year"), *FEATURES)
     years = sorted(r["year"] for r in rows.select("year").distinct().collect())
-    last, out = rows.where(F.col("year") == years[-1]), []
-    for y in years[:-1]:
-        t = D.DistributionTracker(n_bins=BINS).fit(rows.where(F.col("year") == y), FEATURES)
-        out.append((y, not t.update(last, FEATURES).needs_rebin))
-    return spark.createDataFrame(out, "year int, compatible boolean")
+    of = {y: rows_of(rows.where(F.col("year") == y), FEATURES, "l_extendedprice") for y in years}
+    m = IncrementalBooster(n_bins=BINS)
+    m.features_, m.stored_ = FEATURES, [of[y] for y in years[:-1]]
+    kept = m._compatible(of[years[-1]])
+    return spark.createDataFrame([(y, any(of[y] is k for k in kept)) for y in years[:-1]], "year int, compatible boolean")
+
+
+_LEARNED = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 
 
-def _followed(spark) -> tuple[IncrementalBooster, DataFrame]:
-    df, names, _ = regime_data(spark, n_samples=3000, n_families=2, family_size=3, n_standalone=2, n_noise=2, concept_flip=0.5, seed=0)
-    df = df.withColumnRenamed("target", "y")
-    m = IncrementalBooster(n_estimators_per_batch=6, num_leaves=7, n_bins=32)
-    for a in range(0, 3000, 1000):
-        m.partial_fit(df.where((F.col("row_id") >= a) & (F.col("row_id") < a + 1000)), "y", names, order="row_id")
-    return m, df
+def _followed(spark, sf_dir) -> tuple[IncrementalBooster, DataFrame]:
+    """The price of a line from the rest of it, learned year by year."""
+    df = table(spark, sf_dir, "lineitem").select("l_shipdate", F.year("l_shipdate").alias("year"), (F.col("l_extendedprice") / 1000).alias("y"), *_LEARNED)
+    m = IncrementalBooster(n_estimators_per_batch=6, num_leaves=7, n_bins=32, max_bin=64, store_recent_data=False)
+    for year in sorted(r["year"] for r in df.select("year").distinct().collect()):
+        m.partial_fit(df.where(F.col("year") == year), "y", _LEARNED, order="l_shipdate")
+    return m, df.select("y", *_LEARNED)
 
 
 @query()
 def partial_fit_history(spark, sf_dir):
-    return _followed(spark)[0].history(spark).select("batch", "stage", "action", "n_rows", "validation", "n_drifted_features", "trees_before", "trees_retired", "trees_added", "trees_after", "metric", "prequential_loss", "val_loss_after")
+    h = _followed(spark, sf_dir)[0].history(spark)
+    return rounded(h.select("batch", "stage", "action", "n_rows", "validation", "n_drifted_features", "trees_before", "trees_retired", "trees_added", "trees_after", "metric", "prequential_loss", "candidate_loss_ours", "candidate_loss_naive"))
 
 
 @query()
 def feature_importance_report(spark, sf_dir):
-    m, df = _followed(spark)
+    m, df = _followed(spark, sf_dir)
     return m.feature_importance_report(df).to_frame(spark)

@@ -7,7 +7,6 @@ from tidemark.operators import importance as I
 from tidemark.operators.ensemble import DriftWarning, Ensemble, TreeManager
 from tidemark.operators.model import IncrementalBooster
 from tidemark.operators.trainer import BoostParams, boost
-from tidemark.sources.synthetic import regime_arrays
 
 
 def data(n, seed, shift=0.0):
@@ -113,9 +112,3 @@ def test_classes_and_errors(spark):
             IncrementalBooster(**wrong).fit(df, features=list(NAMES))
     with pytest.raises(NotImplementedError):
         IncrementalBooster(task="classification").fit(df.withColumn("y", F.col("t") % 3), features=list(NAMES))
-
-
-def test_generator():
-    a, b = regime_arrays(500, seed=3), regime_arrays(500, seed=3, concept_flip=0.5)
-    assert np.array_equal(a[0], b[0]) and np.array_equal(a[1][:250], b[1][:250]) and not np.array_equal(a[1][250:], b[1][250:])
-    assert a[0].shape == (500, 35) and a[2][0] == "momentum_0"

@@ -89,14 +89,18 @@ def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches):
-    """(uid, deep, signature): signatures are 4-byte numbers whose bytes sort like them, tree after tree."""
+    """(uid, deep, signature): signatures are 2-byte numbers whose bytes sort like them, tree after tree.
+
+    Of each minimum the low 16 bits are kept: two documents that share no shingle agree on LEAST of them by chance with
+    probability 2^-80, and what meets is verified.
+    """
     functions = permutations(TREES * DEPTH)
     for b in batches:
         rows = []
         for uid, text in zip(b["uid"], b["text"]):
             h = shingles(text)
             if len(h):
-                rows.append((uid, max(LEAST, needed_depth(len(h))), signature(h, *functions).astype(">u4").tobytes()))
+                rows.append((uid, max(LEAST, needed_depth(len(h))), signature(h, *functions).astype(">u2").tobytes()))
         yield pd.DataFrame(rows, columns=["uid", "deep", "signature"])
 
 
@@ -199,22 +203,22 @@ def forest(texts: DataFrame) -> DataFrame:
     needed depth in any case, and up to LEAST where at most SPARSE texts share the prefix. A text takes its
     shallowest open node of each tree, so two texts meet if one of them has shortened enough to find the other.
     """
-    at = F.col("tree") * (4 * DEPTH) + 1
-    part = lambda n: F.substring("signature", at, F.lit(4 * n))
+    at = F.col("tree") * (2 * DEPTH) + 1
+    part = lambda n: F.substring("signature", at, F.lit(2 * n))
     signed = materialize(texts.mapInPandas(_signed, "uid long, deep int, signature binary"), "signed")
     # Texts alone under the shortest prefix of a tree have no neighbour in it: they are left out first.
     tops = signed.select("uid", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "signature").select("uid", "tree", F.xxhash64("tree", part(LEAST)).alias("top"))
     shared = materialize(tops.groupBy("top").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("top").alias("t")), "tops")
-    met = materialize(tops.join(shared, F.col("top") == F.col("t"), "left_semi").groupBy("uid").agg(F.collect_list("tree").alias("trees")), "met")
-    n = met.count()
-    keys = signed.join(maybe_broadcast(met.withColumnRenamed("uid", "u"), n, 128), F.col("uid") == F.col("u")).select("uid", "deep", F.explode("trees").alias("tree"), "signature").select("uid", "deep", "tree", part(DEPTH).alias("key"))
+    # The joins below are merges at every size: a side that is small in a small table is not in a large one.
+    met = materialize(tops.join(shared.hint("merge"), F.col("top") == F.col("t"), "left_semi").groupBy("uid").agg(F.collect_list("tree").alias("trees")), "met")
+    keys = signed.join(met.withColumnRenamed("uid", "u").hint("merge"), F.col("uid") == F.col("u")).select("uid", "deep", F.explode("trees").alias("tree"), "signature").select("uid", "deep", "tree", part(DEPTH).alias("key"))
     # The sorted lists. The uid breaks ties, so that no range of them is hot.
     tries = materialize(keys.repartitionByRange("tree", "key", "uid").sortWithinPartitions("tree", "key", "uid"), "tries")
     depths = F.explode(F.sequence(F.lit(LEAST), F.lit(DEPTH)))
-    paths = tries.select("uid", "deep", "tree", depths.alias("depth"), "key").select("uid", "deep", "tree", "depth", F.xxhash64("tree", "depth", F.substring("key", F.lit(1), 4 * F.col("depth"))).alias("node"))
+    paths = tries.select("uid", "deep", "tree", depths.alias("depth"), "key").select("uid", "deep", "tree", "depth", F.xxhash64("tree", "depth", F.substring("key", F.lit(1), 2 * F.col("depth"))).alias("node"))
     counted = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("first"), F.max(F.col("deep") == F.col("depth")).alias("needed"), F.max(F.col("deep") > F.col("depth")).alias("beyond"))
     opened = materialize(counted.where((F.col("n") > 1) & (F.col("needed") | (F.col("beyond") & (F.col("n") <= SPARSE)))).select(F.col("node").alias("open"), "first"), "open")
-    found = paths.join(opened, F.col("node") == F.col("open"))
+    found = paths.join(opened.hint("merge"), F.col("node") == F.col("open"))
     return found.groupBy("uid", "tree").agg(F.min(F.struct("depth", "node", "first")).alias("s")).select("uid", "tree", "s.depth", "s.node", "s.first")
 
 
@@ -237,7 +241,7 @@ def link(texts: DataFrame) -> DataFrame:
     placed = maybe_broadcast(materialize(placed.select("node", "root", "blocks", "block"), "placed"), n, 40)
     # Only the members' texts are read again for their shingles; all others have no candidate.
     held = texts.join(placed, F.col("uid") == F.col("node")).select("uid", "text", "root", "blocks", "block").mapInPandas(_shingled, "uid long, shingles binary, root long, blocks int, block int")
-    held = held.join(nodes, F.col("uid") == F.col("s"))
+    held = held.join(nodes.hint("merge"), F.col("uid") == F.col("s"))
     # A block meets itself and each later one: (x, y) with x <= y.
     units = held.withColumn("unit", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))))
 
@@ -281,7 +285,7 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     # The texts that stand for their copies, chosen by row id; only they are hashed.
     chosen = staged.join(maybe_broadcast(first.select("first"), n, 16), F.col("_row") == F.col("first"), "left_semi")
     linked = link(chosen.select(F.col("_row").alias("uid"), F.coalesce("row.text", F.lit("")).alias("text")))
-    classes = first.join(linked, F.col("first") == F.col("uid"), "left").select("digest", F.coalesce("root", "first").alias("class_row"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    classes = first.join(linked.hint("merge"), F.col("first") == F.col("uid"), "left").select("digest", F.coalesce("root", "first").alias("class_row"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
     classes = materialize(classes, "classes")  # so that the join below is of two plain sides, and a hot digest can be split
     rows = keys.join(classes, "digest").select("_row", "doc_id", "class_row", "n_links")
     return staged, rows, n

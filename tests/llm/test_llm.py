@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, suffix_dedup, top_k
+from tidemark.llm import language_id, suffix_dedup
 from tidemark.llm.common import running_total
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _uid long, size string, digest string"
@@ -44,19 +44,6 @@ def none(spark):
 norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
 
 
-def test_top_k(spark):
-    rng = np.random.default_rng(0)
-    v = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(150)] + [(150, None), (151, [1.0, None]), (152, [float("nan")] * 6), (None, [1.0] * 6), (153, []), (100, [0.5] * 6), (154, [1.0, 2.0])]
-    got = top_k.exact_top_k(spark.createDataFrame(v, "vec_id long, embedding array<double>"), every=50).collect()
-    good = [(i, np.floor(np.array(x) * 1024).astype(int)) for i, x in v if i is not None and x and len(x) == 6 and None not in x and not np.isnan(x).any()]
-    want = []
-    for n, (i, q) in enumerate(good):
-        if i % 50 == 0:
-            best = sorted((-int(x @ q), j) for m, (j, x) in enumerate(good) if m != n)[:10]
-            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
-    assert sorted(map(tuple, got)) == sorted(want)
-
-
 def test_suffix_dedup(spark, table, none, monkeypatch):
     L = 40
     texts = [(i, (t or "").encode()) for i, t, _, _ in some()]

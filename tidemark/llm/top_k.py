@@ -12,7 +12,7 @@ from .common import materialize
 SCALE = 1024.0
 #: Vectors of a candidate block and of a query chunk; a unit of work holds one of each.
 BLOCK, CHUNK = 8192, 1024
-_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+_LEAST, _MOST, _LOW = -(1 << 63), (1 << 63) - 1, (1 << 62) - 1
 
 
 def threshold_top_k(lists: np.ndarray, vectors: np.ndarray, ids: np.ndarray, uids: np.ndarray, query: np.ndarray, own: int, k: int) -> list[tuple[int, int, int]]:
@@ -68,8 +68,9 @@ def exact_top_k(embeddings: DataFrame, k: int = 10, every: int = 100, id_col: st
 
     A component x counts as floor(1024 x). Vectors that are null, empty or hold a null or non-finite component
     take no part, nor do rows with a null id; only vectors of the query's length are its candidates. Of
-    repeated ids each row counts by itself and a query leaves out its own row only. Scores beyond 64 bits are
-    set to the nearest 64-bit number. Candidates lie in blocks of about 8192 rows and queries in chunks; a
+    repeated ids each row counts by itself and a query leaves out its own row only. Scores are
+    compared with 126 bits, and given as the nearest 64-bit number. Other columns are ignored, whatever their names; an empty table gives no rows.
+    Candidates lie in blocks of about 8192 rows and queries in chunks; a
     unit of work is one block with one chunk, holds its own sorted lists and gives k rows a query.
     """
     finite = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -80,23 +81,24 @@ def exact_top_k(embeddings: DataFrame, k: int = 10, every: int = 100, id_col: st
     deal = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), F.col("uid")), F.lit(parts)).cast("int")
     others = F.sequence(F.lit(0), F.lit(chunks - 1))
     rows = base.select(F.size("v").alias("dim"), deal(1, blocks).alias("block"), F.explode(others).alias("chunk"), "uid", "vec_id", "v")
-    queries = base.where(F.col("vec_id") % every == 0).select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), deal(2, chunks).alias("chunk"), "uid", "vec_id", "v")
+    # Under names of their own, so that the two sides of the cogroup share no column.
+    queries = base.where(F.col("vec_id") % every == 0).select(F.size("v").alias("q_dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q_block"), deal(2, chunks).alias("q_chunk"), F.col("uid").alias("own"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
 
     def unit(some: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(some) and len(asked):
             some = some.sort_values(["vec_id", "uid"], ignore_index=True)
-            x, q = _matrix(some["v"]), _matrix(asked["v"])
+            x, q = _matrix(some["v"]), _matrix(asked["q"])
             if x.dtype != q.dtype:
                 x, q = x.astype(object), q.astype(object)
                 x, q = (np.array([[int(c) for c in r] for r in m], dtype=object).reshape(m.shape) for m in (x, q))
             lists = np.argsort(x, axis=0, kind="stable")
             ids, uids = some["vec_id"].to_numpy(), some["uid"].to_numpy()
-            for own, name, vector in zip(asked["uid"].to_numpy(), asked["vec_id"].to_numpy(), q):
-                out += [(own, name, i, uids[r], min(max(s, _LEAST), _MOST)) for s, i, r in threshold_top_k(lists, x, ids, uids, vector, own, k)]
-        return pd.DataFrame(out, columns=["own", "query_id", "vec_id", "uid", "score"]).astype("int64")
+            for own, name, vector in zip(asked["own"].to_numpy(), asked["query_id"].to_numpy(), q):
+                out += [(own, name, i, uids[r], min(max(s >> 62, _LEAST), _MOST), s & _LOW) for s, i, r in threshold_top_k(lists, x, ids, uids, vector, own, k)]
+        return pd.DataFrame(out, columns=["own", "query_id", "vec_id", "uid", "high", "low"]).astype("int64")
 
-    keys = ["dim", "block", "chunk"]
-    found = rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(unit, "own long, query_id long, vec_id long, uid long, score long")
-    best = Window.partitionBy("own").orderBy(F.desc("score"), "vec_id", "uid")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = rows.groupBy("dim", "block", "chunk").cogroup(queries.groupBy("q_dim", "q_block", "q_chunk")).applyInPandas(unit, "own long, query_id long, vec_id long, uid long, high long, low long")
+    best = Window.partitionBy("own").orderBy(F.desc("high"), F.desc("low"), "vec_id", "uid")
+    score = F.when(F.col("high") > 1, F.lit(_MOST)).when(F.col("high") < -2, F.lit(_LEAST)).otherwise(F.col("high") * F.lit(1 << 61) * 2 + F.col("low"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))

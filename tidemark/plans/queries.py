@@ -480,9 +480,9 @@ _YEARS = f"""WITH v AS ({" UNION ALL ".join(f"SELECT year(l_shipdate) AS y, '{f}
     last AS (SELECT max(y) AS y FROM v), bv AS (SELECT feature, value FROM v JOIN last USING (y)),
     r AS (SELECT v.y, feature, value, row_number() OVER (PARTITION BY v.y, feature ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY v.y, feature) AS n FROM v, last WHERE v.y < last.y),
     lv AS (SELECT DISTINCT y, feature, n, k, CAST(k AS DOUBLE) / {BINS}.0 * (n - 1) AS pos FROM r, range({BINS + 1}) t(k)),
-    ed AS (SELECT DISTINCT lv.y, lv.feature, lo.value + (pos - floor(pos)) * (hi.value - lo.value) AS edge
-           FROM lv JOIN r lo ON lo.y = lv.y AND lo.feature = lv.feature AND lo.i = CAST(floor(pos) AS BIGINT)
-                   JOIN r hi ON hi.y = lv.y AND hi.feature = lv.feature AND hi.i = least(CAST(floor(pos) AS BIGINT) + 1, lv.n - 1)),
+    ends AS (SELECT y, feature, k, pos, 0 AS side, CAST(floor(pos) AS BIGINT) AS i FROM lv UNION ALL SELECT y, feature, k, pos, 1, least(CAST(floor(pos) AS BIGINT) + 1, n - 1) FROM lv),
+    qt AS (SELECT y, feature, k, max(pos) AS pos, max(CASE WHEN side = 0 THEN value END) AS lo, max(CASE WHEN side = 1 THEN value END) AS hi FROM ends JOIN r USING (y, feature, i) GROUP BY y, feature, k),
+    ed AS (SELECT DISTINCT y, feature, lo + (pos - floor(pos)) * (hi - lo) AS edge FROM qt),
     rc AS (SELECT ed.y, feature, edge, count(*) FILTER (value < edge) AS below, count(*) FILTER (value <= edge) AS upto, count(*) AS n FROM ed JOIN r USING (y, feature) GROUP BY ALL),
     bc AS (SELECT ed.y, feature, edge, count(*) FILTER (value < edge) AS below, count(*) FILTER (value <= edge) AS upto, count(*) AS n FROM ed JOIN bv USING (feature) GROUP BY ALL),
     ks AS (SELECT rc.y, feature, max(greatest(abs(rc.below / rc.n - bc.below / bc.n), abs(rc.upto / rc.n - bc.upto / bc.n))) AS ks, max(rc.n) AS nr, max(bc.n) AS nb FROM rc JOIN bc USING (y, feature, edge) GROUP BY ALL),

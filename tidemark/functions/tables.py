@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -53,3 +55,13 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in ``path``; none if it is not there."""
     target, fs = _fs(spark, path)
     return sorted(x.getPath().getName() for x in fs.listStatus(target) if x.isDirectory()) if fs.exists(target) else []
+
+
+def pandas_of(df: DataFrame) -> pd.DataFrame:
+    """A table of bounded size on the driver, through Arrow whatever the session says."""
+    return df.toArrow().to_pandas()
+
+
+def frame_of(spark: SparkSession, rows: pd.DataFrame) -> DataFrame:
+    """Rows of the driver as a DataFrame, through Arrow."""
+    return spark.createDataFrame(pa.Table.from_pandas(rows, preserve_index=False))

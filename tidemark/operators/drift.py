@@ -17,6 +17,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.prep import clean, feature_names, finite
+from ..functions.tables import pandas_of
 
 #: Rows of (feature, value, count) that are brought to the driver at most, and levels of the sketch of a bracket.
 COLLECTED, GRID = 1 << 21, 256
@@ -43,7 +44,7 @@ def value_counts(df: DataFrame, features: list[str]) -> dict[str, tuple[np.ndarr
     """Sorted distinct values and their rows of each feature; for tables of at most COLLECTED cells."""
     wide = clean(df, features).toDF(*[f"x{i}" for i in range(len(features))])
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"x{i}").alias("value")) for i in range(len(features))])).alias("c")
-    found = wide.select(cells).select("c.*").where("value IS NOT NULL").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("rows")).toPandas()
+    found = pandas_of(wide.select(cells).select("c.*").where("value IS NOT NULL").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("rows")))
     out = {}
     for i, f in enumerate(features):
         mine = found[found["feature"] == i].sort_values("value")
@@ -69,7 +70,7 @@ def order_statistics(df: DataFrame, ranks: dict[str, list[int]], limit: int = CO
         place = {(f, 0 if lo == -_INF else edges[f].index(lo) + 1): (f, lo, hi) for f, lo, hi in open_}
         rows = bucketed(df, edges, lambda f, bucket, value: bucket.isin(*[b for g, b in place if g == f])).where("flag")
         if sum(n for _, n, _ in open_.values()) <= limit:
-            counted = rows.groupBy("feature", "bucket", "value").agg(F.count(F.lit(1)).alias("rows")).toPandas()
+            counted = pandas_of(rows.groupBy("feature", "bucket", "value").agg(F.count(F.lit(1)).alias("rows")))
             for (f, b), mine in counted.groupby(["feature", "bucket"]):
                 mine = mine.sort_values("value")
                 below, _, wanted = open_[place[f, b]]

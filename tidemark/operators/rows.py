@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import metrics as M
 from ..functions.prep import finite
-from ..functions.tables import written
+from ..functions.tables import frame_of, pandas_of, written
 from .ensemble import Ensemble, loo_scores, total, with_raw
 from .trainer import BoostParams, boost, boost_frame, frame_bins, _bins
 
@@ -39,7 +39,7 @@ def rows_of(df: DataFrame, features: list[str], y: str = "y", w: str | None = No
     slim = df.select(*cells, label.alias("y"), weight.alias("w"), (F.col(f"`{order}`") if order else F.lit(0)).alias("o"), tie.alias("h"))
     n = df.count()
     if n * (len(features) + 2) <= limit:
-        got = slim.toPandas().sort_values(["o", "h"], kind="stable", na_position="first")
+        got = pandas_of(slim).sort_values(["o", "h"], kind="stable", na_position="first")
         x = got[[f"x{i}" for i in range(len(features))]].to_numpy("float64") if features else np.empty((n, 0))
         return LocalRows(list(features), x, got["y"].to_numpy("float64"), got["w"].to_numpy("float64"), got["h"].to_numpy("int64"))
     return TableRows(list(features), written(slim, "rows"), n)
@@ -115,10 +115,9 @@ class LocalRows:
         return LocalRows(self.features, self.x[keep], self.y[keep], self.w[keep], self.h[keep])
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """x0, x1, ..., y, w, o, h as a DataFrame."""
+        """x0, x1, ..., y, w, o, h as a DataFrame; missing values, NaN in the arrays, are null there."""
         data = pd.DataFrame(self.x, columns=[f"x{i}" for i in range(len(self.features))])
-        schema = T.StructType([*[T.StructField(c, T.DoubleType()) for c in (*data.columns, "y", "w")], T.StructField("o", T.LongType()), T.StructField("h", T.LongType())])
-        return spark.createDataFrame(data.assign(y=self.y, w=self.w, o=np.arange(self.n), h=self.h), schema)
+        return frame_of(spark, data.assign(y=self.y, w=self.w, o=np.arange(self.n), h=self.h))
 
     def with_rows(self, others: list["LocalRows"]) -> "LocalRows | TableRows":
         """The others' rows, then these."""
@@ -159,7 +158,7 @@ class TableRows:
         """Labels and the trees' outputs of the rows that callables get."""
         share = min(1.0, CALLABLE_ROWS / max(1, self.n))
         some = self._named().where(F.pmod(F.xxhash64("_h", "_o"), F.lit(1 << 30)) < share * (1 << 30))
-        got = with_raw(some, model, per_tree="_out").select("_y", "_out").toPandas()
+        got = pandas_of(with_raw(some, model, per_tree="_out").select("_y", "_out"))
         return got["_y"].to_numpy(), np.stack(got["_out"].to_numpy()) if len(got) else np.zeros((0, len(model)))
 
     def loss(self, model: Ensemble, metric) -> float:

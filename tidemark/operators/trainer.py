@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import metrics as M
 from ..functions.prep import clean, finite
-from ..functions.tables import written
+from ..functions.tables import pandas_of, written
 from .drift import order_statistics
 from .ensemble import Ensemble, tree_column, with_raw
 
@@ -61,7 +61,7 @@ def frame_bins(df: DataFrame, features: list[str], most: int) -> list[np.ndarray
     values: dict[int, np.ndarray] = {}
     if few:  # some 2 * most values a feature
         cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"x{i}").alias("v")) for i in few])).alias("c")
-        found = x.select(cells).select("c.*").where("v IS NOT NULL").distinct().toPandas()
+        found = pandas_of(x.select(cells).select("c.*").where("v IS NOT NULL").distinct())
         values = {i: np.sort(found["v"][found["i"] == i].to_numpy()) for i in few}
     out: list[np.ndarray] = [np.empty(0)] * len(features)
     ranks: dict[str, list[int]] = {}
@@ -288,7 +288,7 @@ def boost_frame(df: DataFrame, base: Ensemble, rounds: int, params: BoostParams,
 
         def histograms(label: Column) -> dict[int, tuple[np.ndarray, ...]]:
             cells = sloped.withColumn("label", label).where("label IS NOT NULL").select("label", "g", "h", F.posexplode("codes").alias("j", "code"))
-            sums = cells.groupBy("label", "j", "code").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("c")).toPandas()
+            sums = pandas_of(cells.groupBy("label", "j", "code").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("c")))
             out = {}
             for k, mine in sums.groupby("label"):
                 hist = tuple(np.zeros((len(features), width)) for _ in range(3))

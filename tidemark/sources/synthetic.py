@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.tables import frame_of
+
 # The families' names and those of their first features, and the names of the lone signals.
 FAMILIES = {
     "momentum": "momentum_5d momentum_10d momentum_21d momentum_63d momentum_126d momentum_252d",
@@ -160,7 +162,7 @@ def regime_data(spark: SparkSession, **options) -> tuple[DataFrame, list[str], d
     frame = pd.DataFrame(x, columns=names)
     frame.insert(0, "row_id", np.arange(len(x)))
     frame["target"] = y
-    return spark.createDataFrame(frame), names, about
+    return frame_of(spark, frame), names, about
 
 
 def regime_frame(spark: SparkSession, partitions: int | None = None, **options) -> tuple[DataFrame, list[str], dict]:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import TOKEN, cells_for, materialize, maybe_broadcast, running_total
+from .common import TOKEN, cells_for, materialize, running_total
 
 #: Fractional part of the golden ratio: its multiples are spread evenly over [0, 1).
 GOLDEN = (math.sqrt(5) - 1) / 2
@@ -116,10 +116,11 @@ def mixed_documents(docs: DataFrame, whole: bool = False) -> DataFrame:
     The document at which a source's words end has its first words only, or all of them if ``whole``. Nulls, ties and
     repeated rows as in ``mix_counts``; other columns pass unchanged, whatever their names.
     """
-    taken, staged, rows = mix(docs)
+    taken, staged, _ = mix(docs)
     columns = docs.columns
     wanted = taken.where("copies > 0 OR cut > 0").select("_u", "copies", "cut", F.transform("places", lambda p: p["parts"][0]["slot"]).alias("slots"))
-    joined = staged.join(maybe_broadcast(wanted, rows, 48), F.col("_uid") == F.col("_u"))
+    # A merge at every size: what is small in a small table is not in a large one, and the work should grow alike.
+    joined = staged.join(wanted.hint("merge"), F.col("_uid") == F.col("_u"))
     each = joined.select("*", F.posexplode("slots").alias("_pass", "_slot")).orderBy("_slot", "_pass", "_uid")
     words = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(f"({TOKEN})"), F.lit(1)), F.lit(1), F.col("cut").cast("int")), " ")
     text = F.col("row.text") if whole else F.when(F.col("_pass") >= F.col("copies"), words).otherwise(F.col("row.text"))
